@@ -16,6 +16,14 @@ def literal_alternatives(terms: list[str]) -> str:
     return "|".join("".join("\\" + ch if ch in specials else ch for ch in t) for t in terms)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An expression named inside a lambda is otherwise evaluated per element.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
@@ -81,11 +89,10 @@ def clean_sentence(s: Column) -> Column:
 
 def subclaims(s: Column) -> Column:
     """Parts of a cleaned sentence between semicolons."""
-    cleaned = clean_sentence(s)
-    parts = non_empty(F.split(cleaned, ";\\s*"))
-    return (F.when(F.size(parts) > 1, parts)
-            .when(cleaned != "", F.array(cleaned))
-            .otherwise(F.array().cast("array<string>")))
+    return let(clean_sentence(s), lambda cleaned: let(
+        non_empty(F.split(cleaned, ";\\s*")),
+        lambda parts: F.when(F.size(parts) > 1, parts).when(cleaned != "", F.array(cleaned))
+        .otherwise(F.array().cast("array<string>"))))
 
 
 def ends_with_colon(s: Column) -> Column:
@@ -106,8 +113,7 @@ def word_tokens(c: Column) -> Column:
 
 
 def _without(c: Column, stop: list[str]) -> Column:
-    listed = F.array(*[F.lit(w) for w in stop])
-    return F.filter(c, lambda w: ~F.array_contains(listed, w))
+    return F.filter(c, lambda w: ~w.isin(stop))
 
 
 def content_words(c: Column) -> Column:
@@ -125,8 +131,7 @@ def long_words(c: Column) -> Column:
 
 def is_content_word(w: Column) -> Column:
     core = F.lower(F.regexp_replace(strip(w), "^[.,;:!?()\\[\\]{}\"'`~-]+|[.,;:!?()\\[\\]{}\"'`~-]+$", ""))
-    stop = F.array(*[F.lit(x) for x in K.FUNCTION_WORDS + K.POSSESSIVE_EXTRA])
-    return core.rlike("[\\p{L}\\p{N}]") & ~F.array_contains(stop, core)
+    return core.rlike("[\\p{L}\\p{N}]") & ~core.isin(K.FUNCTION_WORDS + K.POSSESSIVE_EXTRA)
 
 
 def numbers(c: Column) -> Column:
@@ -142,10 +147,9 @@ def names(c: Column) -> Column:
 
 def salient_words(c: Column) -> Column:
     """Tokens that carry a measurement, a code or a clinical cue."""
-    cue = F.array(*[F.lit(w) for w in K.CUE_WORDS])
     bare = F.transform(words(c), lambda w: F.regexp_replace(w, "^[.,;:!?()]+|[.,;:!?()]+$", ""))
     return F.array_distinct(F.transform(
-        F.filter(bare, lambda w: F.array_contains(cue, F.lower(w)) | w.rlike(K.DOSE) | w.rlike(K.ALNUM_CODE)),
+        F.filter(bare, lambda w: F.lower(w).isin(K.CUE_WORDS) | w.rlike(K.DOSE) | w.rlike(K.ALNUM_CODE)),
         F.lower))
 
 
@@ -159,28 +163,31 @@ def match_spans(c: Column, pattern: str) -> Column:
     Offsets come from the pieces between the matches: match number i starts
     after the first i+1 pieces and the first i matches.
     """
-    hits = F.regexp_extract_all(c, F.lit(f"({pattern})"), 1)
-    gaps = F.split(c, pattern)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.struct(F.lit(0).alias("at"),
-                 F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(gaps, i - 1)) + F.length(F.get(hits, i - 1))).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + F.length(F.get(gaps, i - 1))).alias("start"),
-                (acc["at"] + F.length(F.get(gaps, i - 1)) + F.length(F.get(hits, i - 1))).alias("end"),
-                F.get(hits, i - 1).alias("text"))).alias("out")),
-    )["out"]
-    return F.when(F.size(hits) > 0, walk).otherwise(
-        F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+    def walk(hits, gaps):
+        def step(acc, i):
+            start = acc["at"] + F.length(F.get(gaps, i - 1))
+            end = start + F.length(F.get(hits, i - 1))
+            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(
+                start.alias("start"), end.alias("end"), F.get(hits, i - 1).alias("text"))).alias("out"))
+
+        return F.when(F.size(hits) > 0, F.aggregate(
+            F.sequence(F.lit(1), F.size(hits)),
+            F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+
+    return let(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1),
+               lambda hits: let(F.split(c, pattern), lambda gaps: walk(hits, gaps)))
 
 
 def content_type(span: Column) -> Column:
     """condition > procedure > medication > numerical > name > word."""
-    raw = strip(span)
+    return let(strip(span), lambda raw: let(
+        F.regexp_extract_all(raw, F.lit(f"({K.TOKEN})"), 1), lambda toks: _content_type(raw, toks)))
+
+
+def _content_type(raw: Column, toks: Column) -> Column:
     low = F.lower(raw)
-    toks = F.regexp_extract_all(raw, F.lit(f"({K.TOKEN})"), 1)
     head = F.lower(strip(F.regexp_replace(strip(F.get(F.split(raw, ":"), F.lit(0))), "^[\\[\\]]+|[\\[\\]]+$", "")))
     unfilled = F.regexp_replace(F.regexp_replace(raw, "\\[[^\\]]*\\]", ""), "^[ :;,.]+|[ :;,.]+$", "") == ""
 
@@ -189,8 +196,8 @@ def content_type(span: Column) -> Column:
         return low.rlike(literal_alternatives(terms)) | F.exists(toks, lambda w: w.rlike(ends))
 
     later = F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1)))
-    stop = F.array(*[F.lit(x) for x in K.PROPER_NOUN_STOP + K.CONTENT_HEADERS])
-    named = F.exists(later, lambda w: w.rlike("^[A-Z][^A-Z]*[a-z][^A-Z]*$") & ~F.array_contains(stop, F.lower(w)))
+    named = F.exists(later, lambda w: w.rlike("^[A-Z][^A-Z]*[a-z][^A-Z]*$")
+                     & ~F.lower(w).isin(K.PROPER_NOUN_STOP + K.CONTENT_HEADERS))
     return (
         F.when(~raw.rlike("[\\p{L}\\p{N}]"), "word")
         .when(F.contains(low, F.lit("not mentioned")) | F.contains(low, F.lit("[unknown]")), "word")
@@ -211,16 +218,14 @@ def share_of(toks: Column, test) -> Column:
 def complexity(c: Column) -> dict[str, Column]:
     """Density features of a source text; denominators are word count + 1."""
     toks = words(c)
-    hedge = F.array(*[F.lit(w) for w in K.HEDGE_WORDS])
-    negative = F.array(*[F.lit(w) for w in K.NEGATION_WORDS])
 
     def bare(w):
         return F.regexp_replace(F.lower(w), "[,.;]+$", "")
 
     return {
         "entity_density": share_of(toks, lambda w: w.rlike("^[A-Z][a-z]+$")),
-        "hedge_density": share_of(toks, lambda w: F.array_contains(hedge, bare(w))),
-        "negation_density": share_of(toks, lambda w: F.array_contains(negative, bare(w))),
+        "hedge_density": share_of(toks, lambda w: bare(w).isin(K.HEDGE_WORDS)),
+        "negation_density": share_of(toks, lambda w: bare(w).isin(K.NEGATION_WORDS)),
         "speaker_turns": (F.regexp_count(c, F.lit("(?i)(?:doctor|physician|dr\\.?)\\s*:"))
                           + F.regexp_count(c, F.lit("(?i)patient\\s*:"))).cast("bigint"),
         "source_words": F.size(toks).cast("bigint"),
@@ -242,12 +247,22 @@ def list_items(c: Column, min_chars: int = 5) -> Column:
 
 def ngrams(toks: Column, n: int) -> Column:
     """Distinct n-grams of an array of words."""
-    return F.when(
-        F.size(toks) >= n,
-        F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size(toks) - (n - 1)),
-            lambda i: F.array_join(F.slice(toks, i, n), " "))),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(ngrams_at(toks, n))
+
+
+def ngrams_at(toks: Column, n: int) -> Column:
+    """All n-grams in order; the i-th one starts at word i.
+
+    Neighbouring words are zipped, so the cost is linear in the text.
+    """
+    def grams(t):
+        size = F.size(t) - (n - 1)
+        out = F.slice(t, 1, size)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(t, 1 + k, size), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(size > 0, out).otherwise(F.array().cast("array<string>"))
+
+    return let(toks, grams)
 
 
 def line_sections(note: Column) -> Column:
@@ -274,10 +289,10 @@ def line_sections(note: Column) -> Column:
                 acc["out"], F.struct(acc["cur"].alias("section"), x["ln"].alias("ln")))).alias("out")),
     )["out"]
     names_ = F.array(*[F.lit(n) for n, _ in K.LINE_SECTIONS], F.lit("other"))
-    return F.transform(names_, lambda n: F.struct(
+    return let(walked, lambda rows: F.transform(names_, lambda n: F.struct(
         n.alias("section"),
-        strip(F.array_join(F.transform(F.filter(walked, lambda x: x["section"] == n), lambda x: x["ln"]), "\n"))
-        .alias("body")))
+        strip(F.array_join(F.transform(F.filter(rows, lambda x: x["section"] == n), lambda x: x["ln"]), "\n"))
+        .alias("body"))))
 
 
 def section_name(header: Column) -> Column:
@@ -310,11 +325,11 @@ def header_blocks(note: Column) -> Column:
 
 def header_sections(note: Column) -> Column:
     """Text by section; repeated sections are appended; 'all' is the whole note."""
-    blocks = header_blocks(note)
-    named = F.transform(F.array(*[F.lit(n) for n in K.SECTION_NAMES]), lambda n: F.struct(
-        n.alias("section"),
-        strip(F.array_join(F.transform(F.filter(blocks, lambda b: b["section"] == n), lambda b: strip(b["txt"])), "\n"))
-        .alias("body")))
+    named = let(header_blocks(note), lambda blocks: F.transform(
+        F.array(*[F.lit(n) for n in K.SECTION_NAMES]), lambda n: F.struct(
+            n.alias("section"),
+            strip(F.array_join(F.transform(
+                F.filter(blocks, lambda b: b["section"] == n), lambda b: strip(b["txt"])), "\n")).alias("body"))))
     present = F.filter(named, lambda s: s["body"] != "")
     return F.array_append(present, F.struct(F.lit("all").alias("section"), note.alias("body")))
 
@@ -325,10 +340,11 @@ def last_sections(note: Column) -> Column:
     pieces = F.slice(F.split(note, header), 2, 100000000)
     heads = F.regexp_extract_all(note, F.lit(header), 1)
     both = F.arrays_zip(F.transform(heads, F.lower).alias("section"), F.transform(pieces, strip).alias("body"))
-    distinct_names = F.array_distinct(F.transform(heads, F.lower))
-    return F.when(F.size(heads) == 0, F.array(F.struct(F.lit("unknown").alias("section"), strip(note).alias("body")))) \
-        .otherwise(F.transform(distinct_names, lambda n: F.struct(
-            n.alias("section"), F.element_at(F.filter(both, lambda b: b["section"] == n), -1)["body"].alias("body"))))
+    found = let(both, lambda pairs: F.transform(
+        F.array_distinct(F.transform(pairs, lambda b: b["section"])), lambda n: F.struct(
+            n.alias("section"), F.element_at(F.filter(pairs, lambda b: b["section"] == n), -1)["body"].alias("body"))))
+    return F.when(F.size(heads) == 0, F.array(F.struct(
+        F.lit("unknown").alias("section"), strip(note).alias("body")))).otherwise(found)
 
 
 def table_section(s: Column) -> Column:
@@ -387,17 +403,18 @@ def lcs_length(a: Column, b: Column) -> Column:
     One row of the classical table is kept in the accumulator; it is rebuilt
     once per word of ``a``.
     """
-    zero_row = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def next_row(row, word):
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)),
-            lambda cur, j: F.array_append(cur, F.when(
-                F.get(b, j - 1) == word, F.get(row, j - 1) + 1,
-            ).otherwise(F.greatest(F.get(row, j), F.element_at(cur, -1)))))
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(
-        F.element_at(F.aggregate(a, zero_row, next_row), -1))
+    def length(x, y):
+        def next_row(row, word):
+            return F.aggregate(
+                F.sequence(F.lit(1), F.size(y)), F.array(F.lit(0)),
+                lambda cur, j: F.array_append(cur, F.when(
+                    F.get(y, j - 1) == word, F.get(row, j - 1) + 1,
+                ).otherwise(F.greatest(F.get(row, j), F.element_at(cur, -1)))))
+
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).otherwise(
+            F.element_at(F.aggregate(x, F.array_repeat(F.lit(0), F.size(y) + 1), next_row), -1))
+
+    return let(a, lambda x: let(b, lambda y: length(x, y)))
 
 
 def overlap(a: Column, b: Column) -> Column:

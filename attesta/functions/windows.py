@@ -11,17 +11,17 @@ from . import text as T
 
 def sentence_windows(sents: Column, size: int = K.WINDOW_SENTENCES) -> Column:
     """Consecutive sentences joined by a blank; one window when there are few."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(sents) - (size - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(sents, i, size), " "))
+    return T.let(sents, lambda all_: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(all_) - (size - 1), F.lit(1))),
+        lambda i: F.array_join(F.slice(all_, i, size), " ")))
 
 
 def token_windows(toks: Column, width: int) -> Column:
     """Half-overlapping windows of words; the last one ends with the text."""
     stride = max(1, width // 2)
-    more = F.ceil(F.greatest(F.size(toks) - width, F.lit(0)) / stride).cast("int")
-    return F.transform(F.sequence(F.lit(0), more),
-                       lambda k: F.array_join(F.slice(toks, k * stride + 1, width), " "))
+    return T.let(toks, lambda all_: F.transform(
+        F.sequence(F.lit(0), F.ceil(F.greatest(F.size(all_) - width, F.lit(0)) / stride).cast("int")),
+        lambda k: F.array_join(F.slice(all_, k * stride + 1, width), " ")))
 
 
 def turn_windows(transcript: Column, window: int = K.WINDOW_CHARS, stride: int = K.STRIDE_CHARS,
@@ -33,10 +33,16 @@ def turn_windows(transcript: Column, window: int = K.WINDOW_CHARS, stride: int =
     end once that turn is the last one, so by default a last turn that no
     window reached is not repeated.  ``keep_tail`` adds a window for it.
     """
-    turns = T.non_empty(F.split(transcript, f"(?={K.TURN_TAG})"))
+    def ends_of(turns):
+        return F.aggregate(turns, F.array(F.lit(0)), lambda acc, t: F.array_append(
+            acc, F.element_at(acc, -1) + F.length(t) + 1))
+
+    return T.let(T.non_empty(F.split(transcript, f"(?={K.TURN_TAG})")), lambda turns: T.let(
+        ends_of(turns), lambda ends: _turn_blocks(turns, ends, window, stride, keep_tail)))
+
+
+def _turn_blocks(turns: Column, ends: Column, window: int, stride: int, keep_tail: bool) -> Column:
     n = F.size(turns)
-    ends = F.aggregate(turns, F.array(F.lit(0)), lambda acc, t: F.array_append(
-        acc, F.element_at(acc, -1) + F.length(t) + 1))
 
     def at(i):
         return F.get(ends, i)
@@ -77,7 +83,10 @@ def longest_run(text: Column, query: Column, gap: int = 2) -> Column:
     Up to ``gap`` other words may lie between two hits, but no ; . or :
     Two hits are needed unless the query has a single content word.
     """
-    wanted = F.array_distinct(T.content_words(query))
+    return T.let(F.array_distinct(T.content_words(query)), lambda wanted: _longest_run(text, wanted, gap))
+
+
+def _longest_run(text: Column, wanted: Column, gap: int) -> Column:
     toks = F.transform(T.match_spans(text, "[a-zA-Z0-9']+"), lambda x, i: F.struct(
         i.alias("i"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["text"]).alias("w")))
     hits = F.filter(toks, lambda x: F.array_contains(wanted, x["w"]))
@@ -96,10 +105,10 @@ def longest_run(text: Column, query: Column, gap: int = 2) -> Column:
             F.when(longer, start).otherwise(acc["bs"]).alias("bs"),
             F.when(longer, x["end"]).otherwise(acc["be"]).alias("be"))
 
-    best = F.aggregate(hits, zero, step)
     need = F.least(F.lit(2), F.size(wanted))
-    return F.when((best["best"] > 0) & (best["best"] >= need), F.struct(
-        best["bs"].alias("start"), best["be"].alias("end"), best["best"].alias("hits")))
+    return T.let(F.aggregate(hits, zero, step), lambda best: F.when(
+        (best["best"] > 0) & (best["best"] >= need), F.struct(
+            best["bs"].alias("start"), best["be"].alias("end"), best["best"].alias("hits"))))
 
 
 def place_sentences(note: Column, sents: Column) -> Column:
@@ -138,9 +147,8 @@ def sections_by_position(note: Column, sents: Column) -> Column:
             F.when(F.position(s, note, acc["cursor"] + 1) > 0,
                    F.position(s, note, acc["cursor"] + 1) - 1 + F.length(s)).otherwise(acc["cursor"]).alias("cursor"),
             F.array_append(acc["out"], F.position(s, note, acc["cursor"] + 1) - 1).alias("out")))["out"]
-    blocks = T.header_blocks(note)
-    return F.transform(placed, lambda p: F.coalesce(F.get(F.filter(
-        blocks, lambda b: (b["start"] <= p) & (p < b["end"])), F.lit(0))["section"], F.lit("all")))
+    return T.let(T.header_blocks(note), lambda blocks: F.transform(placed, lambda p: F.coalesce(F.get(F.filter(
+        blocks, lambda b: (b["start"] <= p) & (p < b["end"])), F.lit(0))["section"], F.lit("all"))))
 
 
 def entities(source: Column, target: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -149,9 +157,12 @@ def entities(source: Column, target: Column, patterns: list[tuple[str, str]]) ->
     Overlaps are resolved from left to right, the longest match first at each
     start: array<struct<start,end,text,kind,target_start>>.
     """
-    found = F.concat(*[F.transform(T.match_spans(source, p), lambda x, kind=kind: F.struct(
-        x["start"].alias("start"), (-(x["end"] - x["start"])).alias("neg_len"), x["end"].alias("end"),
-        x["text"].alias("text"), F.lit(kind).alias("kind"))) for kind, p in patterns])
+    def tagged(kind):
+        return lambda x: F.struct(
+            x["start"].alias("start"), (-(x["end"] - x["start"])).alias("neg_len"), x["end"].alias("end"),
+            x["text"].alias("text"), F.lit(kind).alias("kind"))
+
+    found = F.concat(*[F.transform(T.match_spans(source, p), tagged(kind)) for kind, p in patterns])
     kept = F.aggregate(F.array_sort(found), F.struct(
         F.lit(-1).alias("stop"),
         F.array().cast("array<struct<start:int,neg_len:int,end:int,text:string,kind:string>>").alias("out")),

@@ -39,8 +39,7 @@ def uncovered_tokens(docs: DataFrame, gold: DataFrame, key: str, text: str, n: i
     """Words of each text covered by no n-gram of the gold texts."""
     known = gold.select(F.explode(T.ngrams(T.words(F.lower(F.col("text"))), n)).alias("gram")).distinct()
     toks = docs.select(key, T.words(F.lower(F.col(text))).alias("w"))
-    at = toks.filter(F.size("w") >= n).select(key, F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("i", "gram"))
+    at = toks.select(key, F.posexplode(T.ngrams_at(F.col("w"), n)).alias("i", "gram"))
     covered = at.join(known, "gram", "left_semi") \
         .select(key, F.explode(F.array(*[F.col("i") + k for k in range(n)])).alias("tok")) \
         .distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_covered"))
