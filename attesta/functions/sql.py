@@ -85,3 +85,16 @@ def note_text(key: str = "doc_id", text: str = "text") -> str:
 
 
 NOTES = f"notes AS (SELECT doc_id, {note_text()} AS note FROM documents)"
+
+
+def lcs(a: str, b: str) -> str:
+    """LCS length of two word lists; rows of the table are lists of numbers."""
+    row = (f"list_reduce(list_transform(range(1, len({b}) + 1), lambda j: [j]), lambda cur, y: list_append(cur, "
+           f"CASE WHEN {b}[y[1]] = {a}[x[1]] THEN prev[y[1]] + 1 ELSE greatest(prev[y[1] + 1], cur[-1]) END), [0::BIGINT])")
+    return (f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE list_reduce(list_transform(range(1, len({a}) + 1), lambda i: [i]), "
+            f"lambda prev, x: {row}, list_transform(range(0, len({b}) + 1), lambda z: 0::BIGINT))[-1] END")
+
+
+def long_words(e: str) -> str:
+    return (f"list_distinct(list_transform(list_filter({words(e)}, lambda w: length(w) > 3), "
+            f"lambda w: regexp_replace(lower(w), '^[.,;:]+|[.,;:]+$', '', 'g')))")

@@ -375,26 +375,25 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, "\\s+", " ")
 
 
-def spaced_pattern(span: Column) -> Column:
-    """Regex source matching the words of ``span`` with any blanks between."""
-    escaped = F.regexp_replace(strip(span), "([\\\\.^$|?*+()\\[\\]{}])", "\\\\$1")
-    return F.regexp_replace(escaped, "\\s+", "\\\\s+")
-
-
 def find_span(text: Column, span: Column) -> Column:
     """struct<start,end> of a span, tolerant of blanks, then of case.
 
-    The words of the span are joined by a blanks pattern, so the offsets found
-    are already those of the original text.
+    The search runs on texts with single blanks; a position is moved back to
+    the original text by the blanks removed in front of it.
     """
-    pattern = spaced_pattern(span)
-    exact = F.regexp_instr(text, pattern)
-    folded = F.regexp_instr(text, F.concat(F.lit("(?iu)"), pattern))
-    start = F.when(strip(span) == "", F.lit(None)).when(exact > 0, exact).when(folded > 0, folded)
-    found = F.when(exact > 0, F.regexp_substr(text, pattern)).otherwise(
-        F.regexp_substr(text, F.concat(F.lit("(?iu)"), pattern)))
-    return F.when(start.isNotNull(), F.struct(
-        (start - 1).alias("start"), (start - 1 + F.length(found)).alias("end")))
+    def original(pos, runs):
+        return F.aggregate(runs, pos, lambda at, r: F.when(
+            r["start"] < at, at + (r["end"] - r["start"] - 1)).otherwise(at))
+
+    def place(hay, needle):
+        exact = F.position(needle, hay)
+        at = F.when(exact > 0, exact).otherwise(F.position(F.lower(needle), F.lower(hay)))
+        return let(at, lambda p: F.when((needle != "") & (p > 0), let(
+            match_spans(text, "\\s{2,}"), lambda runs: F.struct(
+                original(p - 1, runs).alias("start"),
+                (original(p + F.length(needle) - 2, runs) + 1).alias("end")))))
+
+    return let(compact(text), lambda hay: let(F.trim(compact(span)), lambda needle: place(hay, needle)))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

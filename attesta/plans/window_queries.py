@@ -79,8 +79,9 @@ def _span_union(alias):
 @query("entities_t19", f"""WITH RECURSIVE pr AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tgt
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 m AS ({_span_union('pr')}), e AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
-sp AS (SELECT conv_id, turn, tgt, kind, h[i] AS txt, (list_sum(list_transform(g[1:i], lambda y: length(y)))
+sp0 AS (SELECT conv_id, turn, src, tgt, kind, h[i] AS txt, (list_sum(list_transform(g[1:i], lambda y: length(y)))
   + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0))::BIGINT AS st FROM e),
+sp AS (SELECT * FROM sp0 WHERE kind IN ('name', 'number') OR st = 0 OR NOT regexp_matches(substr(src, st, 1), '[\\p{{L}}\\p{{N}}_]')),
 o AS (SELECT *, st + length(txt) AS en, row_number() OVER (PARTITION BY conv_id, turn ORDER BY st, length(txt) DESC, txt, kind) AS rn FROM sp),
 w AS (SELECT conv_id, turn, rn, en AS stop, TRUE AS kept FROM o WHERE rn = 1
   UNION ALL SELECT o.conv_id, o.turn, o.rn, CASE WHEN o.st >= w.stop THEN o.en ELSE w.stop END, o.st >= w.stop
