@@ -104,20 +104,19 @@ def position_entropy(members: DataFrame, by: list[str], cluster: str) -> DataFra
     return share_entropy(counts, by, "n").withColumn("entropy", F.when(F.col("total") < 2, 0.0).otherwise(F.col("entropy")))
 
 
-def js_divergence(p: DataFrame, q: DataFrame, by: list[str], cell: str, mass: str, eps: float = 1e-10) -> DataFrame:
-    """Jensen-Shannon divergence of each p to the common q, clamped to [0, 1]."""
-    ptot = p.groupBy(*by).agg(F.sum(mass).alias("_pt"), F.collect_set(cell).alias("_seen"))
-    qshare = q.select(cell, F.col(mass).alias("_qm"))
-    share = p.select(*by, cell, F.col(mass).alias("_pm")).join(ptot.select(*by, "_pt"), by).join(qshare, cell, "left")
-    qt = F.lit(None)
-    del qt
-    x, y = F.col("_pm") / F.col("_pt") + eps, F.coalesce("_qm", F.lit(0.0)) + eps
+def js_divergence(p: DataFrame, q: DataFrame, by: list[str], cell: str, mass: str, share: str, eps: float = 1e-10) -> DataFrame:
+    """Jensen-Shannon divergence of each group to the common shares q, in [0, 1].
+
+    Cells a group lacks hold mass on the q side only, worth q ln 2, so they are
+    added as one remainder and never materialised.
+    """
+    total = p.groupBy(*by).agg(F.sum(mass).alias("_t"))
+    x, y = F.col(mass) / F.col("_t") + eps, F.coalesce(share, F.lit(0.0)) + eps
     m = (x + y) / 2
-    terms = share.groupBy(*by).agg(
-        F.sum(x * F.ln(x / m)).alias("_a"), F.sum(y * F.ln(y / m)).alias("_b"), F.sum("_qm").alias("_used"))
-    # cells the group lacks: only the q side has mass, worth q ln 2 up to eps
-    return terms.select(*by, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (
-        F.col("_a") + F.col("_b") + (1 - F.coalesce("_used", F.lit(0.0))) * F.ln(F.lit(2.0))))).alias("js"))
+    terms = p.join(total, by).join(q.select(cell, share), cell, "left").groupBy(*by).agg(
+        F.sum(x * F.ln(x / m) + y * F.ln(y / m)).alias("_kl"), F.coalesce(F.sum(share), F.lit(0.0)).alias("_used"))
+    both = 0.5 * (F.col("_kl") + (1 - F.col("_used")) * F.ln(F.lit(2.0)))
+    return terms.select(*by, F.greatest(F.lit(0.0), F.least(F.lit(1.0), both)).alias("js"))
 
 
 def centroid_cosine(units: DataFrame, by: str, idc: str, vec: str, weight: Column, k: int) -> DataFrame:

@@ -297,9 +297,9 @@ def position_groups(spark, root):
 
 @query("assign_sentence_p10", f"""WITH {SENT},
 f AS (SELECT doc_id, idx, s AS fact, CASE idx % 3 WHEN 0 THEN lower(substr(s, 4, 20)) WHEN 1 THEN array_to_string(list_reverse({S.words('s')}), ' ') ELSE '' END AS span FROM sent),
-p AS (SELECT f.doc_id, f.idx, s.idx AS i, {S.norm('span')} <> '' AND contains({S.norm('s.s')}, {S.norm('span')}) AS inside,
-  len(list_intersect({S.long_words('s.s')}, CASE WHEN len({S.long_words('span')}) > 0 THEN {S.long_words('span')} ELSE {S.long_words('fact')} END)) AS n
-  FROM f JOIN sent s USING (doc_id))
+fn AS MATERIALIZED (SELECT doc_id, idx, {S.norm('span')} AS span, CASE WHEN len({S.long_words('span')}) > 0 THEN {S.long_words('span')} ELSE {S.long_words('fact')} END AS w FROM f),
+sn AS MATERIALIZED (SELECT doc_id, idx, {S.norm('s')} AS n, {S.long_words('s')} AS w FROM sent),
+p AS (SELECT f.doc_id, f.idx, s.idx AS i, span <> '' AND contains(s.n, span) AS inside, len(list_intersect(s.w, f.w)) AS n FROM fn f JOIN sn s USING (doc_id))
 SELECT doc_id, idx, i::BIGINT AS sent_idx, CASE WHEN inside THEN 'contains' ELSE 'overlap' END AS method FROM p WHERE inside OR n > 0
 QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE -n END, i) = 1""")
 def assign_sentence(spark, root):
