@@ -7,6 +7,7 @@ no window ever holds a whole group.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,9 +156,7 @@ def correlations(df: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
 
 
 def beta_tail():
-    """Vectorised regularised incomplete beta I_x(a, b) for p-values."""
-    import pandas as pd
-
+    """Regularised incomplete beta I_x(a, b), for p-values of small results."""
     @F.pandas_udf("double")
     def tail(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
         import math

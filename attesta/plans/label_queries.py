@@ -29,11 +29,12 @@ def label_maps(spark, root):
     return table(spark, root, "events").select("event_id", L.binary_label(lab).alias("bin"), L.five_class(lab).alias("five"), L.two_class(lab).alias("two"))
 
 
-@query("collapse_j2", """SELECT l_orderkey, min_by(l_returnflag, l_linenumber * 1000000 + l_partkey) AS flag, max((l_linestatus <> 'F')::INT)::BIGINT AS label FROM lineitem GROUP BY 1""")
+@query("collapse_j2", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
+SELECT l_orderkey, max(l_returnflag) FILTER (rn = 1) AS flag, max((l_linestatus <> 'F')::INT)::BIGINT AS label FROM r GROUP BY 1""")
 def collapse(spark, root):
     li = table(spark, root, "lineitem").select(
         "l_orderkey", C("l_returnflag").alias("flag"), F.when(C("l_linestatus") == "F", " Faithful").otherwise("Negation").alias("kind"),
-        (C("l_linenumber") * 1000000 + C("l_partkey")).alias("pos"))
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"))
     return L.collapse(li, ["l_orderkey"], C("pos"), "flag", "kind")
 
 
