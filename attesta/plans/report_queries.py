@@ -109,10 +109,10 @@ def rank_contributions(spark, root):
     return R.rank_contributions(li, ["l_suppkey", "l_linenumber"], C("l_discount") - 0.05, 20)
 
 
-@query("contribution_matrix_g10", "SELECT l_suppkey, " + ", ".join(f"round(avg(abs(l_discount - 0.05)) FILTER (l_linenumber = {k}), 6) AS h{k}" for k in range(1, 8)) + " FROM lineitem GROUP BY 1")
+@query("contribution_matrix_g10", "SELECT l_suppkey, " + ", ".join(f"round(avg(abs(l_discount - 0.05)) FILTER (l_linenumber = {k}), 9) AS h{k}" for k in range(1, 8)) + " FROM lineitem GROUP BY 1")
 def contribution_matrix(spark, root):
     wide = table(spark, root, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", list(range(1, 8))).agg(F.avg(F.abs(C("l_discount") - 0.05)))
-    return wide.select("l_suppkey", *[r6(C(str(k)), f"h{k}") for k in range(1, 8)])
+    return wide.select("l_suppkey", *[F.round(C(str(k)), 9).alias(f"h{k}") for k in range(1, 8)])
 
 
 # fixed values: price per million tokens in and out, by model tier
