@@ -157,27 +157,44 @@ def is_negated(c: Column) -> Column:
     return c.rlike(K.NEGATION)
 
 
-def match_spans(c: Column, pattern: str) -> Column:
-    """Non-overlapping matches with their character offsets, left to right.
+def prefix_sums(numbers_: Column, block: int = 64) -> Column:
+    """Sum of the elements before each element.
 
-    Offsets come from the pieces between the matches: match number i starts
-    after the first i+1 pieces and the first i matches.
+    Appending to one long array costs a copy per element, so the running sums
+    are built in short blocks and the blocks are shifted by their own sums.
     """
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    def in_block(piece, start):
+        return F.aggregate(piece, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct(
+            (acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def total(piece):
+        return F.aggregate(piece, F.lit(0), lambda acc, x: acc + x)
+
+    def blocks(arr):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / block).cast("int")),
+                           lambda k: F.slice(arr, k * block + 1, block))
+
+    def shifted(pieces):
+        return F.flatten(F.zip_with(pieces, in_block(F.transform(pieces, total), F.lit(0)), in_block))
 
-    def walk(hits, gaps):
-        def step(acc, i):
-            start = acc["at"] + F.length(F.get(gaps, i - 1))
-            end = start + F.length(F.get(hits, i - 1))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(
-                start.alias("start"), end.alias("end"), F.get(hits, i - 1).alias("text"))).alias("out"))
+    return let(numbers_, lambda arr: F.when(F.size(arr) > 0, let(blocks(arr), shifted)).otherwise(
+        F.array().cast("array<int>")))
+
+
+def match_spans(c: Column, pattern: str) -> Column:
+    """Non-overlapping matches with their character offsets, left to right.
 
-        return F.when(F.size(hits) > 0, F.aggregate(
-            F.sequence(F.lit(1), F.size(hits)),
-            F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+    A match starts after all earlier matches and the pieces between them.
+    """
+    def placed(hits, gaps):
+        steps = F.zip_with(gaps, hits, lambda g, h: g + F.length(h))
+        starts = F.zip_with(prefix_sums(steps), gaps, lambda before, g: before + g)
+        return F.zip_with(starts, hits, lambda at, h: F.struct(
+            at.alias("start"), (at + F.length(h)).alias("end"), h.alias("text")))
 
-    return let(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1),
-               lambda hits: let(F.split(c, pattern), lambda gaps: walk(hits, gaps)))
+    return let(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1), lambda hits: F.when(
+        F.size(hits) > 0, let(F.transform(F.slice(F.split(c, pattern), 1, F.size(hits)), F.length), lambda gaps: placed(hits, gaps)),
+    ).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")))
 
 
 def content_type(span: Column) -> Column:
@@ -355,6 +372,17 @@ def table_section(s: Column) -> Column:
             .when(head == "plan", "Plan").otherwise("Follow-up"))
 
 
+def fill_sections(sents: Column, default: str = "Preamble") -> Column:
+    """Section of each sentence of one note: the last header at or before it."""
+    def fill(heads):
+        return F.transform(sents, lambda _, i: F.coalesce(
+            F.get(F.reverse(F.filter(heads, lambda h: h["i"] <= i)), F.lit(0))["name"], F.lit(default)))
+
+    found = F.filter(F.transform(sents, lambda s, i: F.struct(i.alias("i"), table_section(s).alias("name"))),
+                     lambda h: h["name"].isNotNull())
+    return let(found, fill)
+
+
 def json_array_in(reply: Column) -> Column:
     """The outermost [...] of a free-text reply, code fences removed."""
     bare = F.regexp_replace(reply, "```(?:json)?", "")
@@ -375,25 +403,33 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, "\\s+", " ")
 
 
-def find_span(text: Column, span: Column) -> Column:
-    """struct<start,end> of a span, tolerant of blanks, then of case.
+def find_spans(text: Column, spans: Column) -> Column:
+    """struct<start,end> of every span of an array, NULL where not found.
 
-    The search runs on texts with single blanks; a position is moved back to
-    the original text by the blanks removed in front of it.
+    Tolerant of blanks, then of case.  The search runs on a text with single
+    blanks, prepared once; a position is moved back to the original text by
+    the blanks removed in front of it.
     """
     def original(pos, runs):
         return F.aggregate(runs, pos, lambda at, r: F.when(
             r["start"] < at, at + (r["end"] - r["start"] - 1)).otherwise(at))
 
-    def place(hay, needle):
-        exact = F.position(needle, hay)
-        at = F.when(exact > 0, exact).otherwise(F.position(F.lower(needle), F.lower(hay)))
-        return let(at, lambda p: F.when((needle != "") & (p > 0), let(
-            match_spans(text, "\\s{2,}"), lambda runs: F.struct(
-                original(p - 1, runs).alias("start"),
-                (original(p + F.length(needle) - 2, runs) + 1).alias("end")))))
+    def place(hay, low, runs):
+        def of(needle):
+            exact = F.when(needle != "", F.position(needle, hay))
+            return let(exact, lambda e: let(
+                F.when(e > 0, e).otherwise(F.position(F.lower(needle), low)), lambda p: F.when((needle != "") & (p > 0), F.struct(
+                    original(p - 1, runs).alias("start"), (original(p + F.length(needle) - 2, runs) + 1).alias("end")))))
 
-    return let(compact(text), lambda hay: let(F.trim(compact(span)), lambda needle: place(hay, needle)))
+        return F.transform(F.transform(spans, lambda s: F.trim(compact(s))), of)
+
+    return let(compact(text), lambda hay: let(F.lower(hay), lambda low: let(
+        match_spans(text, "\\s{2,}"), lambda runs: place(hay, low, runs))))
+
+
+def find_span(text: Column, span: Column) -> Column:
+    """struct<start,end> of one span, see find_spans."""
+    return F.get(find_spans(text, F.array(span)), F.lit(0))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

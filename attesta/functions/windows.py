@@ -117,23 +117,27 @@ def place_sentences(note: Column, sents: Column) -> Column:
     Exact text first, then an anchor on the first 40, 24 or 16 characters whose
     end is bounded by the same number of closing characters.
     """
+    def found(start, end, mode):
+        return F.struct(start.alias("start"), end.alias("end"), F.lit(mode).alias("mode"))
+
+    def anchored(s, at, size, otherwise):
+        def at_head(head):
+            tail = F.position(F.right(s, F.lit(size)), note, head)
+            return F.when(head > 0, T.let(tail, lambda t: found(head - 1, F.least(
+                F.when(t > 0, t - 1 + size).otherwise(head - 1 + F.length(s)), F.length(note)), "fuzzy"))).otherwise(otherwise)
+
+        return F.when(F.length(s) >= size, T.let(F.position(F.left(s, F.lit(size)), note, at + 1), at_head)).otherwise(otherwise)
+
     def step(acc, s):
         at = acc["cursor"]
-        exact = F.position(s, note, at + 1)
-        start, end, mode = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit("fail")
+        none = F.lit(None).cast("int")
+        loose = found(none, none, "fail")
         for size in (16, 24, 40):
-            head = F.position(F.left(s, F.lit(size)), note, at + 1)
-            tail = F.position(F.right(s, F.lit(size)), note, head)
-            ok = (F.length(s) >= size) & (head > 0)
-            stop = F.least(F.when(tail > 0, tail - 1 + size).otherwise(head - 1 + F.length(s)), F.length(note))
-            start = F.when(ok, head - 1).otherwise(start)
-            end = F.when(ok, stop).otherwise(end)
-            mode = F.when(ok, F.lit("fuzzy")).otherwise(mode)
-        start = F.when(exact > 0, exact - 1).otherwise(start)
-        end = F.when(exact > 0, exact - 1 + F.length(s)).otherwise(end)
-        mode = F.when(exact > 0, F.lit("exact")).otherwise(mode)
-        return F.struct(F.coalesce(end, at).alias("cursor"), F.array_append(
-            acc["out"], F.struct(start.alias("start"), end.alias("end"), mode.alias("mode"))).alias("out"))
+            loose = anchored(s, at, size, loose)
+        spot = T.let(F.position(s, note, at + 1), lambda p: F.when(
+            p > 0, found(p - 1, p - 1 + F.length(s), "exact")).otherwise(loose))
+        return T.let(spot, lambda x: F.struct(
+            F.coalesce(x["end"], at).alias("cursor"), F.array_append(acc["out"], x).alias("out")))
 
     return F.aggregate(sents, F.struct(
         F.lit(0).alias("cursor"), F.array().cast("array<struct<start:int,end:int,mode:string>>").alias("out")), step)["out"]
@@ -143,10 +147,9 @@ def sections_by_position(note: Column, sents: Column) -> Column:
     """Section of each sentence by the header block its position falls into."""
     placed = F.aggregate(sents, F.struct(
         F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("out")),
-        lambda acc, s: F.struct(
-            F.when(F.position(s, note, acc["cursor"] + 1) > 0,
-                   F.position(s, note, acc["cursor"] + 1) - 1 + F.length(s)).otherwise(acc["cursor"]).alias("cursor"),
-            F.array_append(acc["out"], F.position(s, note, acc["cursor"] + 1) - 1).alias("out")))["out"]
+        lambda acc, s: T.let(F.position(s, note, acc["cursor"] + 1), lambda p: F.struct(
+            F.when(p > 0, p - 1 + F.length(s)).otherwise(acc["cursor"]).alias("cursor"),
+            F.array_append(acc["out"], p - 1).alias("out"))))["out"]
     return T.let(T.header_blocks(note), lambda blocks: F.transform(placed, lambda p: F.coalesce(F.get(F.filter(
         blocks, lambda b: (b["start"] <= p) & (p < b["end"])), F.lit(0))["section"], F.lit("all"))))
 

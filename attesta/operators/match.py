@@ -61,21 +61,22 @@ def assign_sentence(sents: Column, spans: Column) -> Column:
     """
     def choose(plain, bags):
         def of_span(x):
-            key = T.normalise(x["span"])
+            key = x["key"]
             inside = F.filter(plain, lambda p: (key != "") & F.contains(p["s"], key))
-            wanted = F.when(F.size(T.long_words(x["span"])) > 0, T.long_words(x["span"])).otherwise(T.long_words(x["fact"]))
+            wanted = T.let(T.long_words(x["span"]), lambda w: F.when(F.size(w) > 0, w).otherwise(T.long_words(x["fact"])))
 
             def most(words):
-                return F.aggregate(bags, F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n")), lambda acc, b: F.when(
-                    T.overlap(b["w"], words) > acc["n"],
-                    F.struct(b["i"].alias("i"), T.overlap(b["w"], words).alias("n"))).otherwise(acc))
+                return F.aggregate(bags, F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n")), lambda acc, b: T.let(
+                    T.overlap(b["w"], words), lambda n: F.when(n > acc["n"], F.struct(b["i"].alias("i"), n.alias("n"))).otherwise(acc)))
 
             return T.let(F.get(inside, F.lit(0))["i"], lambda first: F.when(
                 first.isNotNull(), F.struct(first.alias("i"), F.lit("contains").alias("method")),
             ).otherwise(T.let(T.let(wanted, most), lambda m: F.when(m["n"] > 0, F.struct(
                 m["i"].alias("i"), F.lit("overlap").alias("method"))))))
 
-        return F.transform(spans, of_span)
+        keyed = F.transform(spans, lambda x: F.struct(
+            x["span"].alias("span"), x["fact"].alias("fact"), T.normalise(x["span"]).alias("key")))
+        return F.transform(keyed, of_span)
 
     return T.let(F.transform(sents, lambda s, i: F.struct(i.alias("i"), T.normalise(s).alias("s"))),
                  lambda plain: T.let(F.transform(sents, lambda s, i: F.struct(i.alias("i"), T.long_words(s).alias("w"))),
@@ -183,11 +184,14 @@ def label_words(words: Column, spans: Column, default: str, cell: int = 256) ->
         last = F.floor(F.coalesce(F.element_at(F.transform(found, lambda w: w["start"]), -1), F.lit(0)) / cell).cast("int")
         grid = F.transform(F.sequence(F.lit(0), last), lambda g: F.filter(
             spans, lambda p: (p["end"] > g * cell) & (p["start"] < (g + 1) * cell + longest)))
+
+        def category(w, near):
+            return F.aggregate(near, F.lit(default), lambda acc, p: F.when(
+                (w["start"] < p["end"]) & (w["end"] > p["start"]), p["category"]).otherwise(acc))
+
         return T.let(grid, lambda near: F.transform(found, lambda w: F.struct(
-            w["start"].alias("start"), w["end"].alias("end"), F.coalesce(F.get(F.reverse(F.filter(
-                F.get(near, F.floor(w["start"] / cell).cast("int")),
-                lambda p: (w["start"] < p["end"]) & (w["end"] > p["start"]))), F.lit(0))["category"],
-                F.lit(default)).alias("category"))))
+            w["start"].alias("start"), w["end"].alias("end"),
+            category(w, F.get(near, F.floor(w["start"] / cell).cast("int"))).alias("category"))))
 
     return T.let(words, lambda found: F.when(F.size(found) > 0, T.let(
         F.array_max(F.transform(found, lambda w: w["end"] - w["start"])), lambda longest: on_grid(found, longest))))

@@ -22,13 +22,6 @@ C = F.col
 SENT = S.sentence_rows('documents', 'doc_id', 'text')
 
 
-def _with_text(spark, root):
-    """Every sentence of a document next to the document's text."""
-    docs = documents(spark, root)
-    return docs.select("doc_id", "text", F.posexplode(T.sentences(C("text"))).alias("i", "s")) \
-        .select("doc_id", "text", big("i").alias("idx"), "s")
-
-
 def _pattern(e):
     return ("regexp_replace(regexp_replace(" + S.strip(e) + ", '([\\\\.^$|?*+()\\[\\]{}])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g')")
 
@@ -39,9 +32,11 @@ m AS (SELECT *, regexp_extract(text, {_pattern('span')}) AS e, regexp_extract(te
 SELECT doc_id, idx, (strpos(text, CASE WHEN e <> '' THEN e ELSE f END) - 1)::BIGINT AS start_at,
  (strpos(text, CASE WHEN e <> '' THEN e ELSE f END) - 1 + length(CASE WHEN e <> '' THEN e ELSE f END))::BIGINT AS end_at FROM m WHERE e <> '' OR f <> ''""")
 def find_span(spark, root):
-    span = F.when(C("idx") % 2 == 0, F.replace(C("s"), F.lit(" "), F.lit("  "))).otherwise(F.lower("s"))
-    return _with_text(spark, root).withColumn("r", T.find_span(C("text"), span)).filter(C("r").isNotNull()) \
-        .select("doc_id", "idx", big("r.start").alias("start_at"), big("r.end").alias("end_at"))
+    spans = F.transform(T.sentences(C("text")), lambda s, i: F.when(
+        i % 2 == 0, F.replace(s, F.lit(" "), F.lit("  "))).otherwise(F.lower(s)))
+    docs = documents(spark, root).withColumn("spans", spans)
+    return docs.select("doc_id", F.posexplode(T.find_spans(C("text"), C("spans"))).alias("i", "r")).filter(C("r").isNotNull()) \
+        .select("doc_id", big("i").alias("idx"), big("r.start").alias("start_at"), big("r.end").alias("end_at"))
 
 
 _RUN = f"""t AS (SELECT *, regexp_extract_all(s, '[a-zA-Z0-9'']+') AS h, regexp_split_to_array(s, '[a-zA-Z0-9'']+') AS g FROM miss),

@@ -48,9 +48,11 @@ filled AS (SELECT doc_id, idx, s, coalesce(last_value(h IGNORE NULLS) OVER (PART
 
 
 def filled_sections(spark, root):
-    sents = notes(spark, root).select("doc_id", F.posexplode(T.sentences(C("note"))).alias("i", "s")) \
-        .select("doc_id", big("i").alias("idx"), "s")
-    return G.fill_sections(sents, ["doc_id"], "idx", "s")
+    """A note is one row, so its sections are filled without a shuffle."""
+    docs = notes(spark, root).select("doc_id", T.sentences(C("note")).alias("sents"))
+    both = F.arrays_zip(C("sents").alias("s"), T.fill_sections(C("sents")).alias("section"))
+    return docs.select("doc_id", F.posexplode(both).alias("i", "x")) \
+        .select("doc_id", big("i").alias("idx"), C("x.s").alias("s"), C("x.section").alias("section"))
 
 
 @query("fill_sections_t11", f"WITH {FILLED_SQL} SELECT doc_id, idx, section FROM filled")
