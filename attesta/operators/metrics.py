@@ -276,10 +276,35 @@ def threshold_metrics(df: DataFrame, by: list[str], y: str, p: str, t: float = 0
                     ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "brier")
 
 
+def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], name: str = "q") -> DataFrame:
+    """(by, q array, n): linearly interpolated quantiles, exact at any size.
+
+    Ranks are read off the running counts of the distinct values, so no task
+    holds the values of a whole group as an exact percentile aggregate would.
+    """
+    hist = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    total = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    up = running_sums(hist, by, ["_v"], {"_up": F.col("_c")}, value_bucket(F.col("_v")))
+    ranked = up.join(total, by) if by else with_scalar(up, total)
+
+    def at(rank):
+        return F.max(F.when((rank < F.col("_up")) & (rank >= F.col("_up") - F.col("_c")), F.col("_v")))
+
+    cells = []
+    for i, q in enumerate(qs):
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        cells += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
+    found = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *cells)
+    parts = []
+    for i, q in enumerate(qs):
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        parts.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place - F.floor(place)))
+    return found.select(*by, F.array(*parts).alias(name), F.col("_n").alias("n"))
+
+
 def quantile_bins(df: DataFrame, by: list[str], x: str, bins: int) -> DataFrame:
     """Add the number of exact quantile edges at or below each value."""
-    cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = df.groupBy(*by).agg(F.percentile(x, cuts).alias("_edges"), F.count(x).alias("_n"))
+    edges = exact_quantiles(df, by, x, [i / bins for i in range(1, bins)], "_edges").withColumnRenamed("n", "_n")
     both = df.join(edges, by) if by else with_scalar(df, edges)
     return both.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(x))).cast("bigint")).drop("_edges")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .metrics import exact_quantiles, with_scalar
 
 
 def section_table(df: DataFrame, section: str, u: str) -> DataFrame:
@@ -22,8 +23,9 @@ def section_table(df: DataFrame, section: str, u: str) -> DataFrame:
 
 
 def stats_by(df: DataFrame, key: str, x: str) -> DataFrame:
-    return df.groupBy(key).agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_samp(x).alias("sd"),
-                               F.count(x).alias("n"))
+    stats = df.groupBy(key).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.count(x).alias("n"))
+    middle = exact_quantiles(df, [key], x, [0.5]).select(key, F.get("q", F.lit(0)).alias("median"))
+    return stats.join(middle, key)
 
 
 def bucket_counts(df: DataFrame, x: Column, bins: int = 10) -> DataFrame:
@@ -36,9 +38,9 @@ def bucket_counts(df: DataFrame, x: Column, bins: int = 10) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    s = df.groupBy(*by).agg(q.alias("_q"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n"))
-    return s.select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))], "mean", "sd", "n")
+    q = exact_quantiles(df, by, x, [0.0, 0.25, 0.5, 0.75, 1.0], "_q").drop("n")
+    s = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n"))
+    return s.join(q, by).select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))], "mean", "sd", "n")
 
 
 def pivot_counts(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
@@ -109,9 +111,11 @@ def workload(requested: DataFrame, counts: DataFrame, key: str, sentences: str,
 def centroids(df: DataFrame, label: str, xs: list[str], baseline: str) -> DataFrame:
     """Mean of every score by label, with the medians of the baseline label."""
     means = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"mean_{x}") for x in xs])
-    lines = df.filter(F.col(label) == baseline).agg(*[F.percentile(x, 0.5).alias(f"line_{x}") for x in xs])
-    one = F.lit(1)
-    return means.withColumn("_1", one).join(F.broadcast(lines.limit(1).withColumn("_1", one)), "_1").drop("_1")
+    out = means
+    for x in xs:
+        middle = exact_quantiles(df.filter(F.col(label) == baseline), [], x, [0.5]).select(F.get("q", F.lit(0)).alias(f"line_{x}"))
+        out = with_scalar(out, middle)
+    return out
 
 
 def select_cases(df: DataFrame, idc: str, a: Column, b: Column, c: Column, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from .metrics import exact_quantiles
 from .ordered import running_sums, with_position
 
 
@@ -154,7 +155,8 @@ def risk(a: Column, b: Column) -> Column:
 
 def quadrants(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Add the quadrant of two scores relative to their exact group medians."""
-    med = df.groupBy(*by).agg(F.percentile(a, 0.5).alias("_ma"), F.percentile(b, 0.5).alias("_mb"))
+    med = exact_quantiles(df, by, a, [0.5], "_qa").select(*by, F.get("_qa", F.lit(0)).alias("_ma")).join(
+        exact_quantiles(df, by, b, [0.5], "_qb").select(*by, F.get("_qb", F.lit(0)).alias("_mb")), by)
     hi_a, hi_b = F.col(a) >= F.col("_ma"), F.col(b) >= F.col("_mb")
     name = (F.when(hi_a & ~hi_b, "extractive").when(~hi_a & hi_b, "parametric").when(hi_a & hi_b, "synthesized")
             .otherwise("hallucinatory"))

@@ -201,7 +201,7 @@ SELECT conv_id, turn, round(CASE WHEN len(h) = 0 THEN 0 ELSE CASE WHEN len(h) >
 def overlap_metrics(spark, root):
     conv = table(spark, root, "conversations").select("conv_id", "turn", C("text").alias("ref"))
     hyp = table(spark, root, "conversations").select("conv_id", (C("turn") - 1).alias("turn"), C("text").alias("hyp"))
-    pairs = spread(conv.join(hyp, ["conv_id", "turn"]))
+    pairs = spread(conv).join(hyp, ["conv_id", "turn"])
 
     def tok(c):
         return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)

@@ -83,3 +83,8 @@ def status_table(spark, root):
 @query("scope_s10", "SELECT conv_id, turn, role FROM conversations WHERE conv_id >= 10 AND conv_id < 80 AND turn < 3")
 def scope(spark, root):
     return IO.scope(table(spark, root, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", 10, 80, 3)
+
+
+@query("cap_notes_s10", "SELECT conv_id, turn FROM conversations ORDER BY conv_id, turn LIMIT 25")
+def cap_notes(spark, root):
+    return IO.cap_notes(table(spark, root, "conversations").select("conv_id", "turn"), ["conv_id", "turn"], 25)

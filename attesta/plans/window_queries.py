@@ -93,7 +93,7 @@ FROM o JOIN w USING (conv_id, turn, rn) WHERE kept AND strpos(lower(tgt), lower(
 def entities(spark, root):
     conv = table(spark, root, "conversations").select("conv_id", "turn", "text")
     nxt = conv.select("conv_id", (C("turn") - 1).alias("turn"), C("text").alias("target"))
-    pairs = spread(conv.join(nxt, ["conv_id", "turn"]))
+    pairs = spread(conv).join(nxt, ["conv_id", "turn"])
     return pairs.select("conv_id", "turn", F.inline(W.entities(C("text"), C("target"), _PATTERNS))).select(
         "conv_id", "turn", big("start").alias("start_at"), C("text").alias("entity"), "kind",
         big("target_start").alias("found_at"))

@@ -58,8 +58,8 @@ def stream_histogram(stream: DataFrame, by: list[str], y: str, score) -> DataFra
 
 
 def stream_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Running tokens and cost per stage and model; prices are a short static table."""
-    priced = calls.join(F.broadcast(prices), "model", "left")
+    """Running tokens and cost per stage and model; prices are a static table."""
+    priced = calls.join(prices, "model", "left")
     cost = F.coalesce((F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6, F.lit(0.0))
     return priced.groupBy("stage", "model").agg(
         F.count(F.lit(1)).alias("n_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cost).alias("cost"))

@@ -245,3 +245,11 @@ def test_balanced_sample(spark):
     df = spark.createDataFrame([(i, i % 3, int(i % 5 == 0)) for i in range(90)] + [(1000, 9, 1)], "id long, g long, y int")
     counts = {(r["g"], r["y"]): r["count"] for r in X.sample_balanced(df, "g", "y", "id", 4, "s").groupBy("g", "y").count().collect()}
     assert counts == {(g, y): 4 for g in range(3) for y in (0, 1)}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=400), np.zeros(100), rng.normal(size=3) * 1e6])
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0)], "g string, x double")
+    got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", [0.0, 0.1, 0.5, 0.975, 1.0]).collect()}
+    assert got["a"] == pytest.approx(list(np.quantile(x, [0.0, 0.1, 0.5, 0.975, 1.0]))) and got["b"] == [2.0] * 5

@@ -161,3 +161,9 @@ def test_edits_and_rules(value):
 def test_entities_keep_the_longest_at_a_start(value):
     got = value(W.entities(C("a"), C("b"), [("dose", K.DOSE_ENTITY), ("number", K.NUMBER)]), a="took ibuprofen 200 mg twice", b="TOOK IBUPROFEN 200 MG")
     assert [(r["kind"], r["text"]) for r in got] == [("dose", "took ibuprofen 200 mg")]
+
+
+def test_char_windows(value):
+    got = value(W.char_windows(C("t"), 10, 5), t="abcdefghijklmnopqrst")
+    assert got == ["abcdefghij", "fghijklmno", "klmnopqrst"]
+    assert value(W.char_windows(C("t"), 10, 5), t="") is None
