@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -99,79 +99,95 @@ def _precision(shared: Column, whole: Column) -> Column:
     return shared / F.greatest(F.size(whole), F.lit(1))
 
 
-def best_fact_match(facts: DataFrame, sents: DataFrame, keys: list[str], fact: str, sent: str, section: str) -> DataFrame:
-    """Best sentence of each fact, its score and the signal that decided.
+SENTENCES_PER_PACK = 128
 
-    A sentence without any shared evidence scores zero and is never chosen, so
-    candidates come from an equi-join on the shared evidence inside the note;
-    the costly word alignment runs on those only.  ``facts`` has fact_idx and
-    ``sents`` has sent_idx; sections '_any' match every section.
-    """
-    def prepared(df, text):
-        return df.select("*", *[v.alias(k) for k, v in fact_signals(F.col(text)).items()])
 
-    f = prepared(facts, fact).withColumn("seq", F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("toks")))
-    s = prepared(sents, sent).withColumn("_head", T.is_bare_header(F.col(sent))) \
+def _evidence(df: DataFrame, text: str) -> DataFrame:
+    """Add the signals, the word sequence and the tagged evidence of a text."""
+    out = df.select("*", *[v.alias(k) for k, v in fact_signals(F.col(text)).items()]) \
         .withColumn("seq", F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("toks")))
+    tagged = [F.transform(c, _tagger(t)) for c, t in (
+        ("seq", "w:"), ("salient", "s:"), ("names", "n:"), ("nums", "d:"), ("ents", "e:"))]
+    return out.withColumn("evidence", F.array_distinct(F.concat(*tagged)))
 
-    def evidence(df):
-        return F.array_distinct(F.flatten(F.array(
-            F.transform("seq", lambda w: F.concat(F.lit("w:"), w)), F.transform("salient", lambda w: F.concat(F.lit("s:"), w)),
-            F.transform("names", lambda w: F.concat(F.lit("n:"), w)), F.transform("nums", lambda w: F.concat(F.lit("d:"), w)),
-            F.transform("ents", lambda w: F.concat(F.lit("e:"), w)))))
 
-    left = f.select(*keys, "fact_idx", F.col(section).alias("_fs"), F.explode(evidence(f)).alias("_e"))
-    right = s.select(*keys, "sent_idx", "_head", F.col(section).alias("_ss"), F.explode(evidence(s)).alias("_e"))
-    # a fact whose section holds no sentence at all is compared with every one
-    present = s.filter(~F.col("_head")).groupBy(*keys).agg(F.collect_set(section).alias("_present"))
-    left = left.join(present, keys, "left").withColumn("_present", F.coalesce("_present", F.array().cast("array<string>")))
-    placed = F.array_contains("_present", F.col("_fs")) | F.array_contains("_present", F.lit("_any")) \
-        | ((F.col("_fs") == "_any") & (F.size("_present") > 0))
-    allowed = ~placed | (~F.col("_head") & (
-        (F.col("_fs") == F.col("_ss")) | (F.col("_fs") == "_any") | (F.col("_ss") == "_any")))
-    pairs = left.join(right, [*keys, "_e"]).filter(allowed).select(*keys, "fact_idx", "sent_idx").distinct()
-    cols = ["seq", "content", "salient", "names", "nums", "ents", "neg"]
-    both = pairs.join(f.select(*keys, "fact_idx", *[F.col(c).alias(f"f_{c}") for c in cols]), [*keys, "fact_idx"]) \
-        .join(s.select(*keys, "sent_idx", *[F.col(c).alias(f"s_{c}") for c in cols]), [*keys, "sent_idx"])
-
-    def c(n):
-        return F.col(n)
-
-    shared_ents = F.array_intersect(c("f_ents"), c("s_ents"))
+def _tagger(tag: str):
+    return lambda w: F.concat(F.lit(tag), w)
+
+
+def _signals(f: dict[str, Column], s: Column) -> Column:
+    """Agreement of a fact with one sentence."""
     generic = F.array(*[F.lit(x) for x in K.GENERIC_ENTITIES])
-    ent = F.when(F.size(shared_ents) == 0, 0.0).otherwise(F.array_max(F.transform(shared_ents, lambda e: F.when(
-        F.contains(e, F.lit(" ")) | F.contains(e, F.lit("-")), 1.0).when(~F.array_contains(generic, e), 0.85).otherwise(0.45))))
-    scored = both.withColumn("ent", ent) \
-        .withColumn("name", (T.overlap(c("f_names"), c("s_names")) > 0).cast("double")) \
-        .withColumn("num", (T.overlap(c("f_nums"), c("s_nums")) > 0).cast("double")) \
-        .withColumn("n_sal", T.overlap(c("f_salient"), c("s_salient"))) \
-        .withColumn("sal", _precision(c("n_sal"), c("f_salient"))) \
-        .withColumn("lem", _precision(T.overlap(c("f_content"), c("s_content")), F.array_distinct("f_content"))) \
-        .withColumn("lcs", _precision(T.lcs_length(c("f_seq"), c("s_seq")), c("f_seq")))
-    effective = F.when(F.size("f_content") <= 3, c("ent")).otherwise(
-        c("ent") * F.greatest(F.lit(0.3), c("sal"), c("lem"), c("lcs")))
-    same = c("f_neg") == c("s_neg")
-    some = F.greatest(c("ent"), c("name"), c("num"), c("sal"), c("lem"), c("lcs")) > 0
-    plain = (0.32 * effective + 0.18 * c("name") + 0.16 * c("num") + 0.16 * c("sal") + 0.09 * c("lem") + 0.09 * c("lcs")
-             + F.when(some, F.when(same, 0.05).otherwise(-0.05)).otherwise(0.0))
-    floor = (F.when((c("ent") >= 0.85) & ((c("sal") > 0) | (c("lem") > 0)), 0.93)
-             .when((c("num") > 0) & ((c("sal") > 0) | (c("lcs") > 0)), 0.88)
-             .when((c("name") > 0) & (c("lcs") > 0), 0.9)
-             .when((c("sal") > 0) & (F.size("f_salient") <= 2) & (c("n_sal") >= 1)
-                   & ((c("lem") >= 0.4) | (c("lcs") >= 0.4) | same), 0.68).otherwise(0.0))
-    scored = scored.withColumn("score", F.greatest(plain, floor)).filter(c("score") > 0)
-    # scores equal up to rounding noise are ties and go to the first sentence
-    order = Window.partitionBy(*keys, "fact_idx").orderBy(F.desc(F.round("score", 9)), "sent_idx")
-    best = scored.withColumn("_r", F.row_number().over(order)).filter(c("_r") == 1)
-    r = {x: F.round(x, 3) for x in ("ent", "sal", "lem", "lcs")}
+
+    def ent(shared):
+        return F.when(F.size(shared) == 0, 0.0).otherwise(F.array_max(F.transform(shared, lambda e: F.when(
+            F.contains(e, F.lit(" ")) | F.contains(e, F.lit("-")), 1.0).when(~F.array_contains(generic, e), 0.85).otherwise(0.45))))
+
+    n_sal = T.overlap(f["salient"], s["salient"])
+    return F.struct(
+        s["sent_idx"].alias("sent_idx"), T.let(F.array_intersect(f["ents"], s["ents"]), ent).alias("ent"),
+        (T.overlap(f["names"], s["names"]) > 0).cast("double").alias("name"),
+        (T.overlap(f["nums"], s["nums"]) > 0).cast("double").alias("num"), n_sal.alias("n_sal"),
+        _precision(n_sal, f["salient"]).alias("sal"),
+        _precision(T.overlap(f["content"], s["content"]), F.array_distinct(f["content"])).alias("lem"),
+        _precision(T.lcs_length(f["seq"], s["seq"]), f["seq"]).alias("lcs"), (f["neg"] == s["neg"]).alias("same"))
+
+
+def _weighted(f: dict[str, Column], g: Column) -> Column:
+    """Weighted score of the signals with its floors."""
+    ent, name, num, sal, lem, lcs = (g[x] for x in ("ent", "name", "num", "sal", "lem", "lcs"))
+    effective = F.when(F.size(f["content"]) <= 3, ent).otherwise(ent * F.greatest(F.lit(0.3), sal, lem, lcs))
+    some = F.greatest(ent, name, num, sal, lem, lcs) > 0
+    plain = (0.32 * effective + 0.18 * name + 0.16 * num + 0.16 * sal + 0.09 * lem + 0.09 * lcs
+             + F.when(some, F.when(g["same"], 0.05).otherwise(-0.05)).otherwise(0.0))
+    floor = (F.when((ent >= 0.85) & ((sal > 0) | (lem > 0)), 0.93).when((num > 0) & ((sal > 0) | (lcs > 0)), 0.88)
+             .when((name > 0) & (lcs > 0), 0.9)
+             .when((sal > 0) & (F.size(f["salient"]) <= 2) & (g["n_sal"] >= 1) & ((lem >= 0.4) | (lcs >= 0.4) | g["same"]), 0.68)
+             .otherwise(0.0))
+    return F.greatest(plain, floor)
+
+
+def best_fact_match(facts: DataFrame, sents: DataFrame, keys: list[str], fact: str, sent: str, section: str) -> DataFrame:
+    """Best sentence of each fact, its score and the signal that decided.
+
+    Sentences are packed, a bounded number per row; a fact meets the packs of
+    its note and leaves each with its best sentence only, so no pairs are
+    shuffled and a huge note is many bounded packs.  A sentence without shared
+    evidence scores zero and is skipped before the costly word alignment.
+    ``facts`` has fact_idx and ``sents`` has sent_idx; the section '_any'
+    matches every section.
+    """
+    parts = ["sent_idx", "seq", "content", "salient", "names", "nums", "ents", "neg", "evidence", "head", "sec"]
+    s = _evidence(sents, sent).withColumn("head", T.is_bare_header(F.col(sent))).withColumn("sec", F.col(section))
+    size = s.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SENTENCES_PER_PACK).alias("_n"),
+                                F.collect_set(F.when(~F.col("head"), F.col("sec"))).alias("_present"))
+    packs = s.join(size.select(*keys, "_n"), keys).groupBy(*keys, F.pmod(F.xxhash64("sent_idx"), F.col("_n")).alias("_pack")) \
+        .agg(F.collect_list(F.struct(*parts)).alias("_sents")).drop("_pack")
+    f = _evidence(facts, fact).join(size.select(*keys, "_present"), keys).join(packs, keys)
+    own = F.col(section)
+    # a fact whose section holds no sentence at all is compared with every one
+    placed = F.array_contains("_present", own) | F.array_contains("_present", F.lit("_any")) | ((own == "_any") & (F.size("_present") > 0))
+
+    def candidate(x):
+        fits = ~x["head"] & ((x["sec"] == own) | (own == "_any") | (x["sec"] == "_any"))
+        return (~placed | fits) & F.arrays_overlap(F.col("evidence"), x["evidence"])
+
+    mine = {c: F.col(c) for c in ("seq", "content", "salient", "names", "nums", "ents", "neg")}
+    signals = F.transform(F.filter("_sents", candidate), lambda x: _signals(mine, x))
+    scores = F.transform(signals, lambda g: T.let(_weighted(mine, g), lambda v: F.struct(
+        # scores equal up to rounding noise are ties and go to the first sentence
+        (-F.round(v, 9)).alias("order"), g["sent_idx"].alias("sent_idx"), v.alias("score"), g.alias("g"))))
+    best = f.select(*keys, "fact_idx", F.array_min(F.filter(scores, lambda x: x["score"] > 0)).alias("_b")) \
+        .groupBy(*keys, "fact_idx").agg(F.min("_b").alias("_b")).filter(F.col("_b").isNotNull())
+    r = {x: F.round(F.col(f"_b.g.{x}"), 3) for x in ("ent", "sal", "lem", "lcs")}
     method = (F.when((r["ent"] >= 0.85) & ((r["sal"] > 0) | (r["lem"] >= 0.5) | (r["lcs"] >= 0.5)), "entity")
-              .when((c("name") > 0) & (r["lcs"] >= 0.25), "name")
-              .when((c("num") > 0) & ((r["lcs"] >= 0.25) | (r["sal"] > 0)), "number")
-              .when((r["sal"] >= 0.5) & ((r["lem"] >= 0.3) | (r["lcs"] >= 0.3) | same), "medical_token")
+              .when((F.col("_b.g.name") > 0) & (r["lcs"] >= 0.25), "name")
+              .when((F.col("_b.g.num") > 0) & ((r["lcs"] >= 0.25) | (r["sal"] > 0)), "number")
+              .when((r["sal"] >= 0.5) & ((r["lem"] >= 0.3) | (r["lcs"] >= 0.3) | F.col("_b.g.same")), "medical_token")
               .when((r["lcs"] >= 0.6) | (r["lem"] >= 0.75) | ((r["lem"] >= 0.5) & (r["lcs"] >= 0.5)), "lcs"))
-    chosen = best.select(*keys, "fact_idx", c("sent_idx").alias("match_idx"), F.round("score", 6).alias("score"),
+    chosen = best.select(*keys, "fact_idx", F.col("_b.sent_idx").alias("match_idx"), F.round("_b.score", 6).alias("score"),
                          method.alias("matched_by"), r["lcs"].alias("lcs_precision"))
-    return facts.join(chosen, [*keys, "fact_idx"], "left").withColumn("clean_match", c("matched_by").isNotNull())
+    return facts.join(chosen, [*keys, "fact_idx"], "left").withColumn("clean_match", F.col("matched_by").isNotNull())
 
 
 def label_words(words: Column, spans: Column, default: str, cell: int = 256) -> Column:

@@ -83,8 +83,10 @@ mn AS (SELECT a AS id, least(a, min(b)) AS component FROM cl GROUP BY a)"""
 
 def vector_components(spark, root, threshold):
     vec = table(spark, root, "embeddings")
-    edges = V.similar_pairs(vec, "label", "vec_id", "embedding", threshold)
-    return vec, D.all_components(vec, edges, "vec_id", "q_id", "c_id")
+    firsts = V.first_copies(vec, "label", "vec_id", "embedding")
+    near = V.similar_pairs(firsts, "label", "vec_id", "embedding", threshold).select(C("q_id").alias("first"), C("c_id").alias("copy"))
+    edges = near.unionByName(V.copy_edges(vec, firsts, "label", "vec_id", "embedding"))
+    return vec, D.all_components(vec, edges, "vec_id", "first", "copy")
 
 
 _BE = "CASE WHEN {p} <= 0 OR {p} >= 1 THEN 0 ELSE -({p}) * ln({p}) - (1 - ({p})) * ln(1 - ({p})) END"
@@ -252,7 +254,7 @@ o AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rn FROM adj),
 w AS (SELECT 1 AS rn, [vec_id] AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.rn, CASE WHEN list_has_any(kept, prev) THEN kept ELSE list_append(kept, vec_id) END FROM w JOIN o ON o.rn = w.rn + 1)
 SELECT unnest(kept) AS vec_id FROM w WHERE rn = (SELECT count(*) FROM embeddings)""")
 def dedupe_greedy(spark, root):
-    vec = table(spark, root, "embeddings")
+    vec = V.first_copies(table(spark, root, "embeddings"), "label", "vec_id", "embedding")  # later copies are always dropped
     pairs = V.similar_pairs(vec, "label", "vec_id", "embedding", 0.25)
     return D.greedy_keep(vec.select("vec_id"), pairs.select(C("q_id").alias("before"), C("c_id").alias("after")), "vec_id")
 
