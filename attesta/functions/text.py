@@ -432,22 +432,41 @@ def find_span(text: Column, span: Column) -> Column:
     return F.get(find_spans(text, F.array(span)), F.lit(0))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
+def lcs_length(a: Column, b: Column, width: int = 62) -> Column:
     """Longest common subsequence of two word arrays.
 
-    One row of the classical table is kept in the accumulator; it is rebuilt
-    once per word of ``a``.
+    The bit-vector form of the classical table: a row is one number whose zero
+    bits mark the steps, so a word costs one addition per ``width`` words of
+    ``b``; carries pass from one group of words to the next.
     """
+    def bit(j):
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
+
+    def groups(y):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(y) - 1) / width).cast("int")), lambda k: F.transform(
+            F.slice(y, k * width + 1, width), lambda w, j: F.struct(w.alias("w"), bit(j).alias("bit"))))
+
+    def group_pass(x, y, carry, full):
+        masks = F.transform(x, lambda w: F.aggregate(y, F.lit(0).cast("bigint"), lambda m, e: F.when(
+            e["w"] == w, m.bitwiseOR(e["bit"])).otherwise(m)))
+
+        def step(state, mc):
+            v, m = state["v"], mc["m"]
+            return let(v + v.bitwiseAND(m) + mc["c"], lambda total: F.struct(
+                total.bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full).alias("v"),
+                F.array_append(state["out"], F.shiftright(total, width)).alias("out")))
+
+        return F.aggregate(F.zip_with(masks, carry, lambda m, c: F.struct(m.alias("m"), c.alias("c"))),
+                           F.struct(full.alias("v"), F.array().cast("array<bigint>").alias("out")), step)
+
     def length(x, y):
-        def next_row(row, word):
-            return F.aggregate(
-                F.sequence(F.lit(1), F.size(y)), F.array(F.lit(0)),
-                lambda cur, j: F.array_append(cur, F.when(
-                    F.get(y, j - 1) == word, F.get(row, j - 1) + 1,
-                ).otherwise(F.greatest(F.get(row, j), F.element_at(cur, -1)))))
-
-        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).otherwise(
-            F.element_at(F.aggregate(x, F.array_repeat(F.lit(0), F.size(y) + 1), next_row), -1))
+        zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), F.size(x)).alias("carry"), F.lit(0).alias("n"))
+
+        def fold(acc, group):
+            done = group_pass(x, group, acc["carry"], bit(F.size(group)) - 1)
+            return let(done, lambda d: F.struct(d["out"].alias("carry"), (acc["n"] + F.size(group) - F.bit_count(d["v"])).alias("n")))
+
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).otherwise(F.aggregate(groups(y), zero, fold)["n"])
 
     return let(a, lambda x: let(b, lambda y: length(x, y)))
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from attesta.functions import constants as K
@@ -143,7 +145,9 @@ def test_lcs_against_brute_force(value):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         return t[-1][-1]
 
-    for a, b in [("abcbdab", "bdcaba"), ("aaa", "aa"), ("abc", "xyz")]:
+    rnd = random.Random(4)
+    long_ = ["".join(rnd.choice("abcd") for _ in range(n)) for n in (62, 63, 150, 200)]
+    for a, b in [("abcbdab", "bdcaba"), ("aaa", "aa"), ("abc", "xyz"), (long_[0], long_[2]), (long_[2], long_[0]), (long_[1], long_[3]), (long_[3], long_[2])]:
         assert value(T.lcs_length(C("a"), C("b")), a=list(a), b=list(b)) == lcs(a, b)
 
 
