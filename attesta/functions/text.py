@@ -177,8 +177,8 @@ def prefix_sums(numbers_: Column, block: int = 64) -> Column:
     def shifted(pieces):
         return F.flatten(F.zip_with(pieces, in_block(F.transform(pieces, total), F.lit(0)), in_block))
 
-    return let(numbers_, lambda arr: F.when(F.size(arr) > 0, let(blocks(arr), shifted)).otherwise(
-        F.array().cast("array<int>")))
+    return let(numbers_, lambda arr: F.when(F.size(arr) > block, let(blocks(arr), shifted)).otherwise(
+        in_block(arr, F.lit(0))))
 
 
 def match_spans(c: Column, pattern: str) -> Column:
@@ -200,17 +200,18 @@ def match_spans(c: Column, pattern: str) -> Column:
 def content_type(span: Column) -> Column:
     """condition > procedure > medication > numerical > name > word."""
     return let(strip(span), lambda raw: let(
-        F.regexp_extract_all(raw, F.lit(f"({K.TOKEN})"), 1), lambda toks: _content_type(raw, toks)))
+        F.regexp_extract_all(raw, F.lit(f"({K.TOKEN})"), 1), lambda toks: let(
+            F.lower(raw), lambda low: _content_type(raw, low, toks))))
 
 
-def _content_type(raw: Column, toks: Column) -> Column:
-    low = F.lower(raw)
+def _content_type(raw: Column, low: Column, toks: Column) -> Column:
     head = F.lower(strip(F.regexp_replace(strip(F.get(F.split(raw, ":"), F.lit(0))), "^[\\[\\]]+|[\\[\\]]+$", "")))
     unfilled = F.regexp_replace(F.regexp_replace(raw, "\\[[^\\]]*\\]", ""), "^[ :;,.]+|[ :;,.]+$", "") == ""
 
     def hit(terms, suffixes):
         ends = f"(?i)^.+(?:{'|'.join(suffixes)})$"
-        return low.rlike(literal_alternatives(terms)) | F.exists(toks, lambda w: w.rlike(ends))
+        listed = F.array(*[F.lit(t) for t in terms])
+        return F.exists(listed, lambda t: F.contains(low, t)) | F.exists(toks, lambda w: w.rlike(ends))
 
     later = F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1)))
     named = F.exists(later, lambda w: w.rlike("^[A-Z][^A-Z]*[a-z][^A-Z]*$")

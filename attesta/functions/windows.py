@@ -83,7 +83,10 @@ def longest_run(text: Column, query: Column, gap: int = 2) -> Column:
     Up to ``gap`` other words may lie between two hits, but no ; . or :
     Two hits are needed unless the query has a single content word.
     """
-    return T.let(F.array_distinct(T.content_words(query)), lambda wanted: _longest_run(text, wanted, gap))
+    plain = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9']+)"), 1)
+    # most texts share no word with the query and need no offsets
+    return T.let(F.array_distinct(T.content_words(query)), lambda wanted: F.when(
+        F.arrays_overlap(plain, wanted), _longest_run(text, wanted, gap)))
 
 
 def _longest_run(text: Column, wanted: Column, gap: int) -> Column:

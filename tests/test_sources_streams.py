@@ -10,17 +10,17 @@ C = F.col
 
 
 def test_note_tables_from_file_names(spark, tmp_path):
-    folder = tmp_path / "aci" / "test1" / "sentences"
+    folder = tmp_path / "cfg" / "test1" / "sentences"
     folder.mkdir(parents=True)
     (folder / "sample_003_note_02_sentences.csv").write_text('sentence_idx,sentence,uncertainty\n0,"He said ""yes"",\nthen left",0.25\n1,,1.0\n')
     (folder / "other_sentences.csv").write_text("sentence_idx,sentence,uncertainty\n0,x,0.5\n")
     rows = IO.read_note_tables(spark, str(folder / "*.csv"), IO.SENTENCE_SCORE).orderBy("sentence_idx").collect()
-    assert [(r["config"], r["split"], r["sample_idx"], r["note_idx"]) for r in rows] == [("aci", "test1", 3, 2)] * 2
+    assert [(r["config"], r["split"], r["sample_idx"], r["note_idx"]) for r in rows] == [("cfg", "test1", 3, 2)] * 2
     assert rows[0]["sentence"] == 'He said "yes",\nthen left' and rows[1]["sentence"] is None
 
 
 def test_generation_documents(spark, tmp_path):
-    folder = tmp_path / "aci" / "test2" / "generations"
+    folder = tmp_path / "cfg" / "test2" / "generations"
     folder.mkdir(parents=True)
     (folder / "sample_000_generations.json").write_text(json.dumps({"sample_idx": 0, "transcript": "t", "gold_note": "g", "notes": ["a", "b"], "K": 2}, indent=1))
     rows = IO.read_generations(spark, str(folder / "*.json")).orderBy("note_idx").collect()
@@ -43,9 +43,9 @@ def test_available_stops_at_the_first_gap(spark):
 
 
 def test_results_by_split(spark, tmp_path):
-    df = spark.createDataFrame([("aci", "test1", 1), ("virt", "test1", 2)], "config string, split string, v int")
+    df = spark.createDataFrame([("cfg", "test1", 1), ("other", "test1", 2)], "config string, split string, v int")
     IO.write_results(df, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out")).filter("config = 'aci'").collect()
+    back = spark.read.parquet(str(tmp_path / "out")).filter("config = 'cfg'").collect()
     assert [r["v"] for r in back] == [1]
 
 
