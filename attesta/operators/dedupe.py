@@ -45,27 +45,46 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, idc: str) -> DataFrame:
     return nodes.join(dropped.select(F.col("id").alias(idc)), idc, "left_anti")
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def star_round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over distinct (hi, lo) edges, hi > lo.
+
+    Large star: every neighbour above a node is linked to the smallest id near
+    that node.  Small star: a node and its smaller neighbours are linked to the
+    smallest of them.  Neither step joins or separates components.
+    """
+    both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi > lo").distinct()
+    least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    small = large.join(least, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo"))
+    return small.filter("hi > lo").distinct()
+
+
+def components(edges: DataFrame, a: str, b: str, log: list | None = None) -> DataFrame:
     """(id, component): the smallest id of each connected component.
 
-    Each round takes the smallest label among the neighbours and then the label
-    of that label, so the number of rounds grows with the logarithm of a path.
-    Lineage is cut every round; not converging is an error.
+    Alternating stars until every edge points at its component's smallest id,
+    about log2 of the longest path in rounds; there is no cap.  A round is done
+    when no id is both the upper end of an edge and the lower end of another
+    and no id has two lower ends.  Lineage is cut every round.  Nodes that only
+    have an edge to themselves are their own component; edges with a NULL end
+    are no edges.  ``log`` receives one entry per round.
     """
-    both = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("nb"))
-               .unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("nb"))).distinct())
-    labels = cut(both.groupBy("id").agg(F.least(F.min("nb"), F.col("id")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("nb"), "component"), "nb") \
-            .groupBy("id").agg(F.min("component").alias("_n"))
-        hop = labels.join(near, "id", "left").select("id", "component", F.least("component", "_n").alias("_new"))
-        parent = labels.select(F.col("id").alias("_new"), F.col("component").alias("_p"))
-        stepped = cut(hop.join(parent, "_new", "left").select("id", F.col("component").alias("_old"), F.least("_new", "_p").alias("component")))
-        changed = not stepped.filter(F.col("_old") != F.col("component")).isEmpty()
-        labels = stepped.select("id", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    given = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
+    own = given.filter("a = b").select(F.col("a").alias("id")).distinct()
+    now = cut(given.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while True:
+        ends = now.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+            .unionByName(now.select(F.col("lo").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
+        if open_ends.isEmpty():
+            break
+        now = cut(star_round(now))
+        if log is not None:
+            log.append(1)
+    roots = now.select(F.col("lo").alias("id")).unionByName(own).distinct()
+    lows = roots.join(now.select(F.col("hi").alias("id")), "id", "left_anti").select("id", F.col("id").alias("component"))
+    return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(lows)
 
 
 def all_components(nodes: DataFrame, edges: DataFrame, idc: str, a: str, b: str) -> DataFrame:
