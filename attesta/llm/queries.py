@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import exact_dedup, token_counts
+from . import exact_dedup, near_dedup, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, root, "documents"))
 
 
+@query("op2_near_dedup")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, root, "documents"), size=3, percent=85)
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
