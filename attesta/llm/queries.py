@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import exact_dedup, mixing, near_dedup, token_counts
+from . import decontaminate, exact_dedup, mixing, near_dedup, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, root, "documents"), size=3, percent=85)
 
 
+@query("op7_decontaminate")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_digest(table(spark, root, "documents")).drop("source")
