@@ -138,6 +138,10 @@ def matches(segments: Segments, data: np.ndarray, offsets: np.ndarray) -> list[t
         e, n = int(segments.budget[s]), int(segments.size[s])
         low = max(int(offsets[r]), b * (e + 1) - e)
         high = min(int(offsets[r + 1]), (b + 2) * (e + 1) + n + e)
+        whole = data[low:high].tobytes().find(segments.text[s].tobytes())
+        if whole >= 0:  # an exact copy needs no alignment
+            found[r, s, low + whole] = (r, s, low + whole, low + whole + n, 0)
+            continue
         cost = banded_distance(segments.text[s], data[low:high])
         end = int(cost.argmin())
         if cost[end] <= e:
