@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, exact_dedup, mixing, near_dedup, token_counts
+from . import decontaminate, exact_dedup, license_scan, mixing, near_dedup, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return license_scan.scan(table(spark, root, "documents"))
