@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, exact_dedup, license_scan, mixing, near_dedup, token_counts
+from . import decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,11 +32,28 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, root, "documents"))
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, table(spark, root, "labels")))
+
+
 @query("op2_near_dedup")
 def op2(spark: SparkSession, root: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, root, "documents"), size=3, percent=85)
 
 
+def held_out(modulus: int, remainder: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    scored = quality.score_quality(docs, quality.fit(docs, table(spark, root, "labels")))
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 @query("op7_decontaminate")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))

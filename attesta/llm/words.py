@@ -82,14 +82,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: a rolling polynomial over coded bytes, then mixed with the length."""
+def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial over coded bytes, and the inverse powers that ``span_hashes`` needs."""
     up, down = powers(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_CODE[data] * up[:-1], out=run[1:])
+    return run, down
+
+
+def span_hashes(rolled: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, mixed with its length."""
+    run, down = rolled
     return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(rolling(data), starts, ends)
+
+
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct ``size``-word shingles, ordered by row and hash.
 
