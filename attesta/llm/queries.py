@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, quality, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, root, "documents"), size=3, percent=85)
 
 
+@query("op5_html_extraction")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return html_extraction.extract(table(spark, root, "pages"))
+
+
 def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
