@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, quality, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, pitman_yor, quality, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_lm_score")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    scored = pitman_yor.score_texts(table(spark, root, "documents"), ~held_out(10, 0))
+    return scored.select("doc_id", held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op4_exact_dedup", """
     select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
            count(*) over (partition by coalesce(text, '')) as group_size,
@@ -32,6 +38,10 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, root, "documents"))
 
 
+def held_out(modulus: int, remainder: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
 @query("op1_toxicity")
 def op1(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
@@ -48,10 +58,6 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
     return html_extraction.extract(table(spark, root, "pages"))
 
 
-def held_out(modulus: int, remainder: int):
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
-
-
 @query("op6_quality")
 def op6(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
