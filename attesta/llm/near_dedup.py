@@ -9,19 +9,16 @@
    side, so that a hot group of copies meets the rest as one row.
 3. Equal bands make candidates.  Every bucket first links its members to its
    smallest id only; the candidates are verified on the full sets.
-4. Where a bucket still holds several components, the members outside its
-   largest one meet all members of other components.  Pairs whose
-   signature bits differ too much for the wanted similarity (over six standard
-   deviations) are dropped inside the join.  No pair inside a component is made:
-   it could not change the grouping.
+4. Where a bucket still holds several components, its members also meet by an
+   exact filter: with every set in order of rarity, two sets can only be similar
+   enough if what follows their first common shingle is long enough in both.  No
+   pair inside a component is made: it could not change the grouping.
 5. Verified links are grouped: union-find inside each task leaves a forest,
    alternating stars join the forests.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,8 +63,8 @@ def superminhash(row: np.ndarray, element: np.ndarray, n_rows: int, slots: int)
     return sig.reshape(n_rows, slots)
 
 
-def signature_columns(sig: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit key of every band, and one bit of every slot, packed."""
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """64-bit key of every band of every signature."""
     code = mix(np.ascontiguousarray(sig).view(np.uint64) + np.uint64(7))
     keys = np.zeros((len(sig), bands), np.uint64)
     for b in range(bands):
@@ -75,11 +72,11 @@ def signature_columns(sig: np.ndarray, bands: int, rows: int) -> tuple[np.ndarra
         for j in range(rows):
             key = mix(key * np.uint64(3) + code[:, b * rows + j])
         keys[:, b] = key
-    return keys, np.packbits((code & np.uint64(1)).astype(np.uint8), axis=1)
+    return keys
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(_id, n_shingles, f1, f2, bands, s1, s2): set size, 128-bit set fingerprint, band keys, 128 signature bits."""
+    """(_id, n_shingles, f1, f2, bands): set size, 128-bit set fingerprint, band keys."""
     def run(batches):
         for batch in small_batches(batches, "_text"):
             data, offsets = text_bytes(batch.column(1))
@@ -91,18 +88,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
             f1, f2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             np.add.at(f1, row, mix(value + np.uint64(1)))
             np.add.at(f2, row, mix(value * np.uint64(5) + np.uint64(2)))
-            keys, bits = signature_columns(superminhash(row, value, n, bands * rows), bands, rows)
-            wide = np.zeros((n, 16), np.uint8)
-            wide[:, :bits.shape[1]] = bits[:, :16]
-            halves = wide.view(np.int64)
+            keys = band_keys(superminhash(row, value, n, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel())),
-                 pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["_id", "n_shingles", "f1", "f2", "bands", "s1", "s2"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))],
+                names=["_id", "n_shingles", "f1", "f2", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        run, f"_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, s1 long, s2 long")
+        run, f"_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -120,13 +114,24 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, set array<long>")
 
 
-def most_different_bits(similarity: float, slots: int) -> int:
-    """Signature bits that two sets of this similarity may differ in, with six deviations to spare.
+def possible_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose sets may reach ``percent``; none that does is left out.
 
-    A bit differs where the slots differ (1 - similarity) and then half the time.
+    Every set is ordered by how many of the crowd hold a shingle, the rarest
+    first.  If the first common shingle of two sets is at places i and j, they
+    share at most min(n - i, m - j).  So only the places up to which a set could
+    still reach the bound are joined, and only pairs that can reach it pass.
     """
-    n, p = min(slots, 128), (1 - similarity) / 2
-    return math.floor(n * p + 6 * math.sqrt(n * p * (1 - p)))
+    held = sets.join(crowd.withColumnRenamed("rep", "_id"), "_id").select("_id", "comp", F.size("set").alias("n"), F.explode("set").alias("e"))
+    often = held.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
+    ranked = held.join(often, "e").groupBy("_id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("order"))
+    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    first = ranked.select("_id", "comp", "n", F.posexplode(F.slice("order", F.lit(1), reach)).alias("i", "x")).filter("x.often > 1") \
+        .select("_id", "comp", "n", "i", F.col("x.e").alias("e"))
+    x, y = first.toDF("a", "ca", "na", "ia", "e"), first.toDF("b", "cb", "nb", "ib", "e")
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    met = x.join(y, (x["e"] == y["e"]) & (F.col("ca") < F.col("cb")) & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,11 +181,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = cut(sketch(docs, id_col, text_col, size, bands, rows))
     same = ["n_shingles", "f1", "f2"]
     filled = wide.filter("n_shingles > 0 and _id is not null")
-    reps = cut(filled.groupBy(*same).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"),
-                                         F.first("s1").alias("s1"), F.first("s2").alias("s2")))
-    keys = reps.select("rep", "s1", "s2", F.explode("bands").alias("key"))
+    reps = cut(filled.groupBy(*same).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")))
+    keys = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = cut(keys.select("key", F.col("rep").alias("b")).join(buckets, "key").filter("a <> b").select("a", "b").distinct())
+    stars = cut(keys.withColumnRenamed("rep", "b").join(buckets, "key").filter("a <> b").select("a", "b").distinct())
     # members of shared buckets are the only rows whose sets can be asked for
     asked = cut(stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(asked, "_id", "left_semi")
@@ -189,16 +193,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(links, "a", "b")
 
     near = reps.join(asked.withColumnRenamed("_id", "rep"), "rep", "left_semi").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    placed = cut(near.select("rep", F.coalesce("component", "rep").alias("comp"), "s1", "s2", F.explode("bands").alias("key")))
-    sizes = placed.groupBy("key", "comp").count()
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("big"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = placed.join(mixed.select("key", "big"), "key")
-    others = members.filter("comp <> big").select(F.col("key").alias("k"), F.col("rep").alias("r"), F.col("comp").alias("c"),
-                                                  F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    meet = (F.col("key") == F.col("k")) & ((F.col("comp") == F.col("big")) | (F.col("comp") < F.col("c"))) & (F.col("comp") != F.col("c"))
-    rest = members.join(others, meet & (differ <= most_different_bits(percent / 100, bands * rows))) \
-        .select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    placed = cut(near.select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("bands").alias("key")))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    crowd = cut(placed.join(mixed, "key", "left_semi").select("rep", "comp").distinct())
+    rest = possible_pairs(crowd, sets, percent).join(stars, ["a", "b"], "left_anti")
     more = cut(verified(rest, sets, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more), "a", "b")
