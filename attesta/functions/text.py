@@ -257,6 +257,28 @@ def keep_fact(f: Column) -> Column:
     return (F.size(words(f)) >= K.MIN_FACT_WORDS) & ~f.rlike(K.CONJUNCTION)
 
 
+def slash_facts(c: Column) -> Column:
+    """Facts of a reply that separates them by two slashes."""
+    return F.filter(F.transform(F.split(c, "//"), strip), lambda s: s != "")
+
+
+def label_in(reply: Column, labels: list[str], default: str) -> Column:
+    """First label that a reply without a usable object names anywhere, in any case."""
+    low = F.lower(reply)
+    found = F.filter(F.array(*[F.lit(x) for x in labels]), lambda x: F.contains(low, F.lower(x)))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(default))
+
+
+def name_spans(c: Column) -> Column:
+    """Capitalised words that are not ordinary note words, with their character offsets."""
+    return F.filter(match_spans(c, K.CAP_WORD), lambda s: ~F.lower(s["text"]).isin(list(K.NAME_STOP)))
+
+
+def cue_spans(c: Column) -> Column:
+    """Clinical cue words with their character offsets."""
+    return F.filter(match_spans(c, "[A-Za-z]+"), lambda s: F.lower(s["text"]).isin(list(K.CUE_WORDS)))
+
+
 def list_items(c: Column, min_chars: int = 5) -> Column:
     """Items of a numbered or bulleted list."""
     bare = F.transform(lines(c), lambda ln: strip(F.regexp_replace(strip(ln), K.LIST_MARK, "")))
@@ -355,7 +377,7 @@ def header_sections(note: Column) -> Column:
 def last_sections(note: Column) -> Column:
     """Text by section with the header removed; the last duplicate wins."""
     header = f"(?id)(?:^|\\n)\\s*({'|'.join(['Subjective', 'Objective', 'Assessment', 'Plan'])})\\s*:?"
-    pieces = F.slice(F.split(note, header), 2, 100000000)
+    pieces = let(F.split(note, header), lambda p: F.slice(p, F.lit(2), F.size(p)))
     heads = F.regexp_extract_all(note, F.lit(header), 1)
     both = F.arrays_zip(F.transform(heads, F.lower).alias("section"), F.transform(pieces, strip).alias("body"))
     found = let(both, lambda pairs: F.transform(

@@ -204,6 +204,20 @@ def apply_edits(note: Column, edits: Column, most: int) -> Column:
     return F.aggregate(edits, zero, step)
 
 
+def swap_once(text: Column, original: Column, replacement: Column) -> Column:
+    """The first occurrence of ``original`` replaced; the text itself where there is none."""
+    at = F.position(original, text)
+    return F.when((original != "") & (at > 0), F.concat(
+        F.left(text, at - 1), replacement, F.substring(text, at + F.length(original), F.length(text)))).otherwise(text)
+
+
+def flip_phrase(text: Column, phrase: Column, negated: Column) -> Column:
+    """The first occurrence of a phrase, in any case, replaced by its counterpart."""
+    at = F.position(F.lower(phrase), F.lower(text))
+    return F.when((phrase != "") & (at > 0), F.concat(
+        F.left(text, at - 1), negated, F.substring(text, at + F.length(phrase), F.length(text)))).otherwise(text)
+
+
 def apply_rules(note: Column, rules: list[tuple[str, str, str]], most: int) -> Column:
     """Pattern edits; a fixed sentence is appended when none applies."""
     zero = F.struct(note.alias("text"), F.array().cast(

@@ -318,14 +318,16 @@ def cluster_bootstrap(df: DataFrame, group: str, y: str, score: str, reps: int,
     """Percentile interval of the AUROC over whole groups drawn with replacement.
 
     A replicate is a table of multiplicities per group; it weights the
-    per-group histogram, so no row is copied.
+    per-group histogram, so no row is copied.  Groups are numbered by the order
+    of their md5, and a draw is 60 bits of one modulo the number of groups.
     """
     by_group = histogram(df, [group], y, score)
-    groups = with_position(by_group.select(group).distinct(), [], [group], F.ascii(group).cast("bigint"), "_g")
+    named = by_group.select(group).distinct().withColumn("_h", F.md5(F.col(group).cast("string")))
+    groups = with_position(named, [], ["_h", group], F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint"), "_g").drop("_h")
     size = groups.agg(F.count(F.lit(1)).alias("_size"))
     slots = with_scalar(groups.select(F.col("_g").alias("_slot")), size)
     draws = slots.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "_slot", "_size")
-    picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("_slot"))), 1, 8), 16, 10).cast("bigint") % F.col("_size")
+    picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("_slot"))), 1, 15), 16, 10).cast("bigint") % F.col("_size")
     weights = draws.select("rep", picked.alias("_g")).groupBy("rep", "_g").agg(F.count(F.lit(1)).alias("_w")).join(groups, "_g")
     drawn = weights.join(by_group, group).groupBy("rep", "score").agg(
         F.sum(F.col("_w") * F.col("pos")).alias("pos"), F.sum(F.col("_w") * F.col("neg")).alias("neg"))

@@ -11,15 +11,14 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import auroc, histogram
+from .metrics import auroc, histogram, with_scalar
 
 
 def balanced_weights(df: DataFrame, y: str) -> DataFrame:
-    """weight = n / (2 n_class)."""
-    n = df.groupBy(y).agg(F.count(F.lit(1)).alias("_c"))
-    total = n.agg(F.sum("_c").alias("_n")).withColumn("_1", F.lit(1))
-    share = n.withColumn("_1", F.lit(1)).join(total, "_1").select(y, (F.col("_n") / (2 * F.col("_c"))).alias("weight"))
-    return df.join(F.broadcast(share.limit(16)), y)
+    """weight = n / (2 n_class) for a label that is 0 or 1."""
+    n = df.agg(F.count(y).alias("_n"), F.count_if(F.col(y) == 1).alias("_p"))
+    own = F.when(F.col(y) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
+    return with_scalar(df, n).withColumn("weight", F.col("_n") / (2 * own)).drop("_n", "_p")
 
 
 def logistic(n_rows: int, c: float = 1.0, features: str = "features", iterations: int = 100) -> LogisticRegression:

@@ -163,6 +163,23 @@ def quadrants(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return df.join(med, by).withColumn("quadrant", name).drop("_ma", "_mb")
 
 
+QUADRANTS = ("extractive", "parametric", "synthesized", "hallucinatory")
+
+
+def quadrant_shares(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Share of every quadrant, mean of b - a and the most frequent quadrant (first name of equals) per group."""
+    shares = [F.round(F.avg((F.col("quadrant") == q).cast("int")), 6).alias(q) for q in QUADRANTS]
+    counts = F.array_sort(F.array(*[F.struct((-F.count_if(F.col("quadrant") == q)).alias("n"), F.lit(q).alias("q")) for q in QUADRANTS]))
+    return df.groupBy(*by).agg(*shares, F.round(F.avg(F.col(b) - F.col(a)), 6).alias("net"), F.get(counts, F.lit(0))["q"].alias("dominant"))
+
+
+def contribution_fractions(df: DataFrame, by: list[str], first: Column, second: Column, flagged: Column) -> DataFrame:
+    """Share of |first| in |first| + |second|, and the mean of first on flagged and on other rows."""
+    total = F.sum(F.abs(first)) + F.sum(F.abs(second))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.abs(first)), total).alias("first_fraction"),
+                               F.avg(F.when(flagged, first)).alias("flagged_mean"), F.avg(F.when(~flagged, first)).alias("clean_mean"))
+
+
 def bleu1(hyp: Column, ref: Column) -> Column:
     """Clipped unigram precision with brevity penalty for two word arrays."""
     def count_in(ws, w):

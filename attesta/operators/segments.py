@@ -47,6 +47,35 @@ def uncovered_tokens(docs: DataFrame, gold: DataFrame, key: str, text: str, n: i
         .withColumn("n_uncovered", F.col("n_tokens") - F.coalesce("n_covered", F.lit(0))).drop("n_covered")
 
 
+def paired_share(note: Column, source: Column, n: int) -> Column:
+    """Share of the distinct word n-grams of a note that occur in its own source; 0 without n-grams."""
+    def share(own, other):
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(own, other)), F.size(own)), F.lit(0.0))
+
+    def grams(c):
+        return T.ngrams(T.words(F.lower(c)), n)
+
+    return F.round(share(grams(note), grams(source)), 4)
+
+
+def paired_uncovered(note: Column, source: Column, n: int = 3) -> Column:
+    """Words of a note that lie in no n-gram of its own source.
+
+    A word is covered by any of the n-grams that start at it or up to n - 1
+    words before it.
+    """
+    def count(words, known):
+        hit = F.transform(T.ngrams_at(words, n), lambda g: F.map_contains_key(known, g).cast("int"))
+        padded = F.concat(F.array_repeat(F.lit(0), n - 1), hit, F.array_repeat(F.lit(0), n - 1))
+        covered = F.slice(padded, F.lit(1), F.size(words))
+        for k in range(1, n):
+            covered = F.zip_with(covered, F.slice(padded, F.lit(1 + k), F.size(words)), lambda a, b: F.greatest(a, b))
+        return F.when(F.size(words) >= n, F.size(F.filter(covered, lambda x: x == 0))).otherwise(F.size(words))
+
+    known = F.map_from_entries(F.transform(T.ngrams(T.words(F.lower(source)), n), lambda g: F.struct(g, F.lit(1))))
+    return T.let(T.words(F.lower(note)), lambda w: T.let(known, lambda m: count(w, m)))
+
+
 def echo_guard(items: DataFrame, notes: DataFrame, key: str, item: str, note: str) -> DataFrame:
     """Keep the items that occur in their own note."""
     joined = items.join(notes.select(key, T.normalise(F.col(note)).alias("_note")), key)

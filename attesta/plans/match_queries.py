@@ -148,11 +148,13 @@ def sentence_uncertainty(sents, supports, sizes, keys, sample):
     """1 minus the mean support of a sentence over the other notes.
 
     Claims are averaged inside each note first; because every note sees all
-    claims, the mean of the per-claim sums is the same number.  A sentence
-    without a claim counts as half supported everywhere.
+    claims, the mean of the per-claim sums is the same number.  A note that had
+    nothing to compare with half supports the claim, and a sentence without a
+    claim counts as half supported everywhere.
     """
-    per = supports.groupBy(*keys).agg(F.avg("support_sum").alias("_s"))
     others = sizes.withColumn("_others", C("_k") - 1).filter("_others > 0")
+    half = (C("_others") - C("n_compared")) * 0.5
+    per = supports.join(others, sample).groupBy(*keys).agg(F.avg(C("support_sum") + half).alias("_s"))
     return sents.join(others, sample).join(per, keys, "left").withColumn(
         "uncertainty", F.round(1 - F.coalesce(C("_s"), C("_others") * 0.5) / C("_others"), 4)).select(*sents.columns, "uncertainty")
 
@@ -164,7 +166,8 @@ def turn_uncertainty(spark, root):
 
 
 UNCERTAIN_SQL = f"""{PAIR_SQL}, sizes AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1 HAVING count(*) > 1),
-per_sent AS (SELECT conv_id, turn, idx, avg(support_sum) AS s FROM per_claim GROUP BY ALL),
+per_sent AS (SELECT c.conv_id, c.turn, c.idx, avg(coalesce(support_sum, 0) + (k - 1 - coalesce(n_compared, 0)) * 0.5) AS s
+  FROM claims c JOIN sizes USING (conv_id) LEFT JOIN per_claim USING (conv_id, turn, idx, claim_idx) GROUP BY ALL),
 unc AS (SELECT sent.conv_id, sent.turn, sent.role, sent.idx, sent.s AS sentence, round(1 - coalesce(p.s, (k - 1) * 0.5) / (k - 1), 4) AS uncertainty
   FROM sent JOIN sizes USING (conv_id) LEFT JOIN per_sent p USING (conv_id, turn, idx))"""
 

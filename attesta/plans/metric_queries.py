@@ -262,14 +262,14 @@ def calibration(spark, root):
     return M.calibration(lab, "y", "p").select("bin", r6("predicted", "predicted"), r6("observed", "observed"), "n")
 
 
-@query("cluster_bootstrap_m17", f"""WITH {LAB}, g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS g, count(*) OVER () AS k FROM (SELECT DISTINCT source FROM lab)),
-dr AS (SELECT rep, ('0x' || substr(md5('11:' || rep || ':' || slot), 1, 8))::BIGINT % k AS g FROM (SELECT g AS slot, k, unnest(range(0, 200)) AS rep FROM g)),
+@query("cluster_bootstrap_m17", f"""WITH {LAB}, g AS (SELECT source, row_number() OVER (ORDER BY md5(source), source) - 1 AS g, count(*) OVER () AS k FROM (SELECT DISTINCT source FROM lab)),
+dr AS (SELECT rep, ('0x' || substr(md5('11:' || rep || ':' || slot), 1, 15))::BIGINT % k AS g FROM (SELECT g AS slot, k, unnest(range(0, 2000)) AS rep FROM g)),
 w AS (SELECT rep, source, count(*) AS w FROM dr JOIN g USING (g) GROUP BY 1, 2),
 hh AS (SELECT rep, s, sum(w * (y = 1)::INT) AS pos, sum(w * (y <> 1)::INT) AS neg FROM w JOIN lab USING (source) GROUP BY 1, 2),
 cc AS (SELECT *, sum(neg) OVER (PARTITION BY rep ORDER BY s) - neg / 2 AS below FROM hh), r AS (SELECT rep, sum(pos * below) / sum(pos) / sum(neg) AS au FROM cc GROUP BY 1 HAVING sum(pos) > 0 AND sum(neg) > 0),
 {_auroc_sql('lab', '')} SELECT round(any_value(auroc), 6) AS auroc, round(quantile_cont(au, 0.025), 6) AS low, round(quantile_cont(au, 0.975), 6) AS high, count(*)::BIGINT AS n_reps FROM r, a""")
 def cluster_bootstrap(spark, root):
-    out = M.cluster_bootstrap(labelled(spark, root), "source", "y", "s", 200, "11")
+    out = M.cluster_bootstrap(labelled(spark, root), "source", "y", "s", 2000, "11")
     return out.select(r6("auroc", "auroc"), r6("low", "low"), r6("high", "high"), "n_reps")
 
 
