@@ -24,8 +24,14 @@ def day_bucket(ts: Column) -> Column:
 
 
 def value_bucket(x: Column, per_octave: int = 256) -> Column:
-    """Bucket of a number: equal steps of log2(|x|), mirrored below zero."""
-    step = F.floor(F.log2(F.abs(x)) * per_octave) + 400000
+    """Bucket of a number, mirrored below zero: equal steps of log2(|x|), and of log2(1 - |x|) between a half and one.
+
+    Probabilities of a confident model crowd below one, where steps of log2(|x|)
+    would put them into one bucket.
+    """
+    a = F.abs(x)
+    step = F.when((a >= 0.5) & (a < 1), F.floor(-F.log2(1 - a) * per_octave) - per_octave + 400000) \
+        .otherwise(F.floor(F.log2(a) * per_octave) + F.when(a >= 1, 420000).otherwise(400000))
     return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("bigint")
 
 

@@ -82,12 +82,12 @@ def _vectors(spark, root, folds):
 
 @query("probe_oof_f1")
 def probe_oof(spark, root):
-    """Test and train AUROC per fold with a single-feature baseline."""
+    """Test and train AUROC per fold, and the test AUROC of a probe on one feature, the mean of all."""
     rows = _vectors(spark, root, 3)
-    _, folds, _ = L.probe_oof(rows, 3, iterations=30)
-    base = rows.select("y", "fold", F.get("x", F.lit(0)).alias("p"))
-    single = M.auroc(M.histogram(base, ["fold"], "y", "p"), ["fold"]).select("fold", C("auroc").alias("single_feature"))
-    return folds.join(single, "fold")
+    _, folds, _ = L.probe_oof(rows, 3)
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    _, single, _ = L.probe_oof(rows.withColumn("x", F.array(mean)), 3)
+    return folds.join(single.select("fold", C("test_auroc").alias("single_feature")), "fold")
 
 
 @query("word_classifier_f2")
@@ -100,7 +100,7 @@ def word_classifier(spark, root):
 
 @query("rank_coefficients_f3")
 def rank_coefficients(spark, root):
-    _, _, models = L.probe_oof(_vectors(spark, root, 3), 3, iterations=30)
+    _, _, models = L.probe_oof(_vectors(spark, root, 3), 3)
     return L.rank_coefficients(spark, models)
 
 
@@ -129,14 +129,14 @@ SELECT layer, count(*) FILTER (y = 1)::BIGINT AS n1, count(*) FILTER (y = 0)::BI
  + (count(*) FILTER (y = 0) - 1) * var_samp(x) FILTER (y = 0)) / (count(*) - 2)), 6) AS d FROM c GROUP BY 1""")
 def stream_moments(spark, root):
     ev = _event_stream(spark, root).select(C("event_type").alias("layer"), (C("user_id") % 2).alias("y"), (C("value") / 100).alias("x"))
-    state = S.run_available(S.stream_moments(ev, ["layer"], "y", C("x")), S.new_folder(spark, "moments"))
+    state = S.run_available(ev, S.moments_of(["layer"], "y", C("x")), ["layer"], S.new_folder(spark, "moments"))
     return M.d_from_moments(state, ["layer"]).withColumn("d", F.round("d", 6))
 
 
-@query("stream_auroc_q1", f"WITH e AS (SELECT event_type AS layer, user_id % 2 AS y, value AS s FROM events), {_auroc_sql('e', 'layer')} SELECT layer, n, n_pos, round(auroc, 6) AS auroc FROM a")
+@query("stream_auroc_q1", f"WITH e AS (SELECT event_type AS layer, user_id % 2 AS y, round(value, 2) AS s FROM events), {_auroc_sql('e', 'layer')} SELECT layer, n, n_pos, round(auroc, 6) AS auroc FROM a")
 def stream_auroc(spark, root):
     ev = _event_stream(spark, root).select(C("event_type").alias("layer"), (C("user_id") % 2).alias("y"), "value")
-    state = S.run_available(S.stream_histogram(ev, ["layer"], "y", C("value")), S.new_folder(spark, "histogram"))
+    state = S.run_available(ev, S.histogram_of(["layer"], "y", C("value")), ["layer", "score"], S.new_folder(spark, "histogram"))
     return M.auroc(state, ["layer"]).withColumn("auroc", F.round("auroc", 6))
 
 
@@ -144,5 +144,5 @@ def stream_auroc(spark, root):
 c AS (SELECT event_type AS stage, (['large', 'small', 'open', 'other'])[1 + event_id % 4] AS model, floor(value * 100)::BIGINT AS ti, floor(value * 10)::BIGINT AS tk FROM events)
 SELECT stage, c.model, count(*)::BIGINT AS n_calls, sum(ti)::BIGINT AS tokens_in, sum(tk)::BIGINT AS tokens_out, round(sum(coalesce((ti * pin + tk * pout) / 1e6, 0)), 6) AS cost FROM c LEFT JOIN p ON p.model = c.model GROUP BY 1, 2""")
 def stream_cost(spark, root):
-    state = S.stream_cost(calls(_event_stream(spark, root)), prices(spark))
-    return S.run_available(state, S.new_folder(spark, "cost")).withColumn("cost", F.round("cost", 6))
+    state = S.run_available(calls(_event_stream(spark, root)), S.cost_of(prices(spark)), ["stage", "model"], S.new_folder(spark, "cost"))
+    return state.withColumn("cost", F.round("cost", 6))

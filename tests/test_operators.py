@@ -253,3 +253,11 @@ def test_exact_quantiles(spark):
     df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0)], "g string, x double")
     got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", [0.0, 0.1, 0.5, 0.975, 1.0]).collect()}
     assert got["a"] == pytest.approx(list(np.quantile(x, [0.0, 0.1, 0.5, 0.975, 1.0]))) and got["b"] == [2.0] * 5
+
+
+def test_value_buckets_follow_the_order_and_spread_near_one(spark):
+    from attesta.operators.ordered import value_bucket
+    values = sorted([0.0, 1e-300, 1e-9, 0.25, 0.4999999, 0.5, 0.50001, 0.75, 1.0, 1.0000001, 2.0, 1e9] + [1 - 2.0**-k for k in range(2, 50)])
+    values = sorted({-v for v in values} | set(values))
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(value_bucket(F.col("v")).alias("b")).collect()]
+    assert got == sorted(got) and len(set(got)) > 100

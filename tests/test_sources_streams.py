@@ -61,7 +61,33 @@ def test_stream_equals_batch(spark, tmp_path):
     rows.filter("x < 8").coalesce(1).write.mode("append").parquet(str(src))
     rows.filter("x >= 8").coalesce(1).write.mode("append").parquet(str(src))
     stream = S.file_stream(spark, str(src), "*.parquet", "layer bigint, y bigint, x double", files_per_batch=1)
-    state = S.run_available(S.stream_moments(stream, ["layer"], "y", C("x")), str(tmp_path / "state"))
+    state = S.run_available(stream, S.moments_of(["layer"], "y", C("x")), ["layer"], str(tmp_path / "state"))
     got = sorted(map(tuple, d_from_moments(state, ["layer"]).collect()))
     want = sorted(map(tuple, d_from_moments(moments(rows, ["layer"], "y", C("x")), ["layer"]).collect()))
-    assert got == want and len(list((tmp_path / "state" / "state").glob("batch=*"))) == 2
+    assert got == want and len(list((tmp_path / "state" / "delta").glob("batch=*"))) == 2
+
+
+def test_repeated_and_torn_batches_and_compaction(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "state")
+    rows = spark.range(300).select((C("id") % 3).alias("layer"), (C("id") % 2).alias("y"), (C("id") % 17).cast("double").alias("x"))
+    summary = S.moments_of(["layer"], "y", C("x"))
+
+    def feed(low, high):
+        rows.filter(C("x").between(low, high)).coalesce(1).write.mode("append").parquet(str(src))
+        stream = S.file_stream(spark, str(src), "*.parquet", "layer bigint, y bigint, x double", files_per_batch=1)
+        return S.run_available(stream, summary, ["layer"], out)
+
+    def same(state, upto):
+        want = moments(rows.filter(C("x") <= upto), ["layer"], "y", C("x"))
+        assert sorted(map(tuple, state.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+    same(feed(0, 4), 4)
+    same(feed(5, 9), 9)
+    # batch 1 again, and a third one that never finished
+    summary(rows.filter(C("x").between(5, 9))).write.mode("overwrite").parquet(f"{out}/delta/batch=1")
+    S.mark(spark, out, "done", 1)
+    summary(rows).write.parquet(f"{out}/delta/batch=7")
+    same(S.state(spark, ["layer"], out), 9)
+    S.compact(spark, ["layer"], out)
+    same(S.state(spark, ["layer"], out), 9)
+    same(feed(10, 16), 16)
