@@ -49,6 +49,23 @@ def auroc(hist: DataFrame, by: list[str], least: int = 1) -> DataFrame:
                        F.when(enough, F.col("_u") / (p * n)).alias("auroc"))
 
 
+def one_against_rest(counts: DataFrame, by: list[str], target: str, score: str, c: str) -> DataFrame:
+    """(by, target, auroc): every target against all others, from (by, target, score, c) counts.
+
+    The negatives of a target below a score are all rows below it less the
+    target's own, so two running sums suffice and no score meets every target.
+    """
+    value = F.col(score).cast("double")
+    own = running_sums(counts.select(*by, target, value.alias("_s"), F.col(c).alias("_c")), [*by, target], ["_s"], {"_t": F.col("_c")}, value_bucket(F.col("_s")))
+    every = counts.groupBy(*by, value.alias("_s")).agg(F.sum(c).alias("_e"))
+    every = running_sums(every, by, ["_s"], {"_a": F.col("_e")}, value_bucket(F.col("_s")))
+    total = counts.groupBy(*by).agg(F.sum(c).alias("_n"))
+    below = (F.col("_a") - F.col("_e") / 2) - (F.col("_t") - F.col("_c") / 2)
+    u = own.join(every, [*by, "_s"]).groupBy(*by, target).agg(F.sum(F.col("_c") * below).alias("_u"), F.sum("_c").alias("_p"))
+    rest = F.col("_n") - F.col("_p")
+    return u.join(total, by).select(*by, target, F.try_divide(F.col("_u"), F.col("_p").cast("double") * rest).alias("auroc"))
+
+
 def curve(hist: DataFrame, by: list[str]) -> DataFrame:
     """Cumulated true and false positives from the highest score downwards."""
     return running_sums(hist, by, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, -value_bucket(F.col("score")))
@@ -309,6 +326,22 @@ def quantile_bins(df: DataFrame, by: list[str], x: str, bins: int) -> DataFrame:
     return both.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(x))).cast("bigint")).drop("_edges")
 
 
+def rates_by_bin(df: DataFrame, by: list[str], x: str, y: Column, bins: int, least: int) -> DataFrame:
+    """(by, bin, rate, n): mean of y per quantile bin of x, for groups of at least ``least`` values.
+
+    An exact quantile edge lies at or below a value when the value at its upper
+    rank does, so the bin of a value follows from the running count of the
+    distinct values; neither edges nor rows are joined.
+    """
+    hist = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.count(y).alias("_k"), F.sum(y).alias("_y"))
+    total = hist.groupBy(*by).agg(F.sum("_c").alias("_n")).filter(F.col("_n") >= least)
+    up = running_sums(hist, by, ["_v"], {"_up": F.col("_c")}, value_bucket(F.col("_v")))
+    ranked = up.join(total, by) if by else with_scalar(up, total)
+    below = sum(((F.ceil((F.col("_n") - 1) * F.lit(i / bins) - 1e-9) < F.col("_up")).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint"))
+    return ranked.groupBy(*by, below.alias("bin")).agg((F.sum("_y") / F.sum("_k")).alias("rate"), F.sum("_c").alias("n"))
+
+
 def calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     return quantile_bins(df, [], p, bins).groupBy("bin").agg(
         F.avg(p).alias("predicted"), F.avg(y).alias("observed"), F.count(F.lit(1)).alias("n"))

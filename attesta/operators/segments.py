@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordered import carry_last, running_sums, runs_of, with_position
+from .ordered import carry_last, running_sums, with_position
 
 
 def fill_sections(sents: DataFrame, by: list[str], idx: str, s: str) -> DataFrame:
@@ -98,10 +98,11 @@ def low_runs(tokens: DataFrame, by: list[str], order: list[str], bucket: Column,
     """Unbroken runs of low relative coverage, at least ``shortest`` long."""
     top = tokens.groupBy(*by).agg(F.max(value).alias("_top"))
     scaled = tokens.join(top, by).withColumn("coverage", F.col(value) / F.col("_top")).drop("_top")
-    placed = with_position(scaled, by, order, bucket)
-    low = runs_of(placed, by, ["pos"], F.col("coverage") < threshold, F.floor(F.col("pos") / 4096))
-    return low.groupBy(*by, "run").agg(
-        F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.count(F.lit(1)).alias("n_tokens"),
+    # position and number of the run come from one pass along the order
+    low = F.col("coverage") < threshold
+    placed = running_sums(scaled, by, order, {"pos": F.lit(1).cast("bigint"), "run": 1 - low.cast("bigint")}, bucket).filter(low)
+    return placed.groupBy(*by, "run").agg(
+        (F.min("pos") - 1).alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n_tokens"),
         F.avg("coverage").alias("mean_coverage")).filter(F.col("n_tokens") >= shortest).drop("run")
 
 

@@ -39,14 +39,14 @@ def collapse(spark, root):
 
 
 _JUDGED = f"""jd AS (SELECT doc_id, idx, s, (['Faithful', 'Fabrication', 'Negation', 'PARSE_ERROR'])[1 + (idx + doc_id) % 4] AS label,
- substr(s, 1, 25) AS flagged, CASE WHEN idx % 2 = 0 THEN substr(s, 15, 25) ELSE substr(s, 40, 25) END AS fact FROM sent)"""
+ substr(s, 1, length(s) // 2) AS flagged, substr(s, CASE WHEN idx % 2 = 0 THEN length(s) // 3 ELSE length(s) // 2 END + 1) AS fact FROM sent)"""
 
 
 def judged(spark, root):
     kinds = F.array(*[F.lit(x) for x in ("Faithful", "Fabrication", "Negation", "PARSE_ERROR")])
     return document_sentences(spark, root).select(
-        "doc_id", "idx", "s", F.get(kinds, ((C("idx") + C("doc_id")) % 4).cast("int")).alias("label"), F.substring("s", 1, 25).alias("flagged"),
-        F.when(C("idx") % 2 == 0, F.substring("s", 15, 25)).otherwise(F.substring("s", 40, 25)).alias("fact"))
+        "doc_id", "idx", "s", F.get(kinds, ((C("idx") + C("doc_id")) % 4).cast("int")).alias("label"), F.left("s", F.floor(F.length("s") / 2).cast("int")).alias("flagged"),
+        F.substr(C("s"), F.floor(F.length("s") / F.when(C("idx") % 2 == 0, 3).otherwise(2)).cast("int") + 1).alias("fact"))
 
 
 @query("strict_labels_j3", f"""WITH {SENT}, {_JUDGED}, y AS (SELECT *, CASE WHEN label = 'Faithful' THEN 0 WHEN label <> 'PARSE_ERROR' THEN 1 END AS y FROM jd)

@@ -50,8 +50,8 @@ best AS (SELECT doc_id, idx, st, en FROM a QUALIFY row_number() OVER (PARTITION
 
 
 @query("locate_tiers_p2", f"""WITH {SENT},
-sp AS (SELECT doc_id, idx, s, CASE idx % 3 WHEN 0 THEN lower(substr(s, 3, 30)) WHEN 1 THEN array_to_string(list_reverse({S.words('s')}), ' ')
-  ELSE 'zq ' || left(s, 25) || ' qz' END AS span FROM sent),
+sp AS (SELECT doc_id, idx, s, CASE idx % 3 WHEN 0 THEN lower(substr(s, 3)) WHEN 1 THEN array_to_string(list_reverse({S.words('s')}), ' ')
+  ELSE 'zq ' || s || ' qz' END AS span FROM sent),
 x AS (SELECT *, strpos(lower({S.norm('s')}), {S.norm('span')}) > 0 AND {S.strip('span')} <> '' AS hit,
   regexp_extract(s, {_pattern('span')}) AS m1, regexp_extract(s, '(?i)' || {_pattern('span')}) AS m2 FROM sp),
 ex AS (SELECT *, CASE WHEN m1 <> '' THEN m1 ELSE m2 END AS m FROM x),
@@ -60,9 +60,9 @@ SELECT ex.doc_id, ex.idx, CASE WHEN m <> '' THEN strpos(s, m) - 1 ELSE st END::B
  CASE WHEN m <> '' THEN strpos(s, m) - 1 + length(m) ELSE en END::BIGINT AS end_at,
  CASE WHEN m <> '' THEN 'exact' WHEN st IS NOT NULL THEN 'word' ELSE 'unmatched' END AS method FROM ex LEFT JOIN best USING (doc_id, idx)""")
 def locate_tiers(spark, root):
-    span = (F.when(C("idx") % 3 == 0, F.lower(F.substring("s", 3, 30)))
+    span = (F.when(C("idx") % 3 == 0, F.lower(F.substr(C("s"), F.lit(3))))
             .when(C("idx") % 3 == 1, F.array_join(F.reverse(T.words(C("s"))), " "))
-            .otherwise(F.concat(F.lit("zq "), F.left("s", F.lit(25)), F.lit(" qz"))))
+            .otherwise(F.concat(F.lit("zq "), "s", F.lit(" qz"))))
     rows = document_sentences(spark, root).withColumn("span", span)
     return M.locate_tiers(rows, "s", "span").select("doc_id", "idx", big("start").alias("start_at"), big("end").alias("end_at"), "method")
 

@@ -69,10 +69,10 @@ def wide_to_long(spark, root):
     return long_vectors(spark, root).select("vec_id", "layer", r6("s", "value"), "label")
 
 
-@query("long_to_wide_s8", f"WITH {LONG} SELECT vec_id, " + ", ".join(f"round(max(s) FILTER (layer = {k}), 6) AS l{k}" for k in range(8)) + " FROM lng GROUP BY 1")
+@query("long_to_wide_s8", f"WITH {LONG} SELECT vec_id, " + ", ".join(f"round(max(s) FILTER (layer = {k}), 6) AS l{k}" for k in range(64)) + " FROM lng GROUP BY 1")
 def long_to_wide(spark, root):
-    wide = long_vectors(spark, root).filter("layer < 8").groupBy("vec_id").pivot("layer", list(range(8))).agg(F.first("s"))
-    return wide.select("vec_id", *[r6(C(str(k)), f"l{k}") for k in range(8)])
+    wide = long_vectors(spark, root).groupBy("vec_id").pivot("layer", list(range(64))).agg(F.first("s"))
+    return wide.select("vec_id", *[r6(C(str(k)), f"l{k}") for k in range(64)])
 
 
 @query("unpivot_s8", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, column_name AS metric, value FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount AS ecs_l0, l_tax AS pks_l0 FROM lineitem) UNPIVOT (value FOR column_name IN (ecs_l0, pks_l0))")
@@ -277,7 +277,7 @@ def cluster_bootstrap(spark, root):
 SELECT layer, len(list_filter(e, lambda q: q <= x))::BIGINT AS bin, round(avg(y), 6) AS rate, count(*)::BIGINT AS n FROM x JOIN e USING (layer) WHERE e.n >= 20 GROUP BY 1, 2""")
 def rate_by_decile(spark, root):
     x = table(spark, root, "lineitem").select(C("l_linenumber").cast("bigint").alias("layer"), C("l_extendedprice").alias("x"), (C("l_returnflag") == "R").cast("int").alias("y"))
-    return M.quantile_bins(x, ["layer"], "x", 10).filter("_n >= 20").groupBy("layer", "bin").agg(r6(F.avg("y"), "rate"), F.count(F.lit(1)).alias("n"))
+    return M.rates_by_bin(x, ["layer"], "x", C("y"), 10, 20).select("layer", "bin", r6("rate", "rate"), "n")
 
 
 @query("ecdf_m19", "SELECT DISTINCT l_returnflag, l_linenumber::BIGINT AS layer, l_quantity AS value, round(cume_dist() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_quantity), 6) AS share FROM lineitem")

@@ -56,18 +56,13 @@ def pivot_counts(spark, root):
     return R.pivot_counts(table(spark, root, "lineitem"), "l_linestatus", "l_returnflag", ["A", "N", "R", "X"])
 
 
-@query("auroc_pivot_g5", f"""WITH {LONG}, tg AS (SELECT label AS target, layer, s, 1 AS y FROM lng WHERE layer < 4 UNION ALL SELECT t.label, layer, s, 0 FROM lng, (SELECT DISTINCT label FROM embeddings) t WHERE layer < 4 AND lng.label <> t.label),
-{_auroc_sql('tg', 'target, layer')} SELECT target::BIGINT AS target, """ + ", ".join(f"round(max(auroc) FILTER (layer = {k}), 6) AS f{k}" for k in range(4)) + " FROM a GROUP BY 1")
+@query("auroc_pivot_g5", f"""WITH {LONG}, tg AS (SELECT label AS target, layer, s, 1 AS y FROM lng UNION ALL SELECT t.label, layer, s, 0 FROM lng, (SELECT DISTINCT label FROM embeddings) t WHERE lng.label <> t.label),
+{_auroc_sql('tg', 'target, layer')} SELECT target::BIGINT AS target, """ + ", ".join(f"round(max(auroc) FILTER (layer = {k}), 6) AS f{k}" for k in range(64)) + " FROM a GROUP BY 1")
 def auroc_pivot(spark, root):
-    """Target by feature table: every label against the rest, from histograms."""
-    rows = long_vectors(spark, root).filter("layer < 4")
-    mine = rows.groupBy("layer", C("label").alias("target"), C("s").alias("score")).agg(F.count(F.lit(1)).alias("c"))
-    everyone = mine.groupBy("layer", "score").agg(F.sum("c").alias("all"))
-    targets = mine.select("target").distinct().agg(F.collect_set("target").alias("targets"))
-    grid = M.with_scalar(everyone, targets).select("layer", "score", "all", F.explode("targets").alias("target"))
-    hist = grid.join(mine, ["layer", "score", "target"], "left").select("layer", "target", "score", F.coalesce("c", F.lit(0)).alias("pos"), (C("all") - F.coalesce("c", F.lit(0))).alias("neg"))
-    wide = M.auroc(hist, ["layer", "target"]).groupBy("target").pivot("layer", [0, 1, 2, 3]).agg(F.first("auroc"))
-    return wide.select(C("target").cast("bigint").alias("target"), *[r6(C(str(k)), f"f{k}") for k in range(4)])
+    """Target by feature table: every label against the rest, all layers."""
+    counts = long_vectors(spark, root).groupBy("layer", C("label").alias("target"), C("s").alias("score")).agg(F.count(F.lit(1)).alias("c"))
+    wide = M.one_against_rest(counts, ["layer"], "target", "score", "c").groupBy("target").pivot("layer", list(range(64))).agg(F.first("auroc"))
+    return wide.select(C("target").cast("bigint").alias("target"), *[r6(C(str(k)), f"f{k}") for k in range(64)])
 
 
 _LB = "CASE event_type WHEN 'click' THEN 'Faithful' WHEN 'view' THEN 'Fabrication' WHEN 'error' THEN 'Negation' WHEN 'purchase' THEN 'PARSE_ERROR' ELSE 'Contextual' END"

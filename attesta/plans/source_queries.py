@@ -59,11 +59,11 @@ def annotations(spark, root):
 
 
 @query("available_s6", """WITH p AS (SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rk FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'N'))
-SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM p WHERE rk = l_linenumber AND l_orderkey < 12000 AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = p.l_orderkey AND b.l_linenumber = p.l_linenumber AND b.l_linestatus = 'O')""")
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM p WHERE rk = l_linenumber AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = p.l_orderkey AND b.l_linenumber = p.l_linenumber AND b.l_linestatus = 'O')""")
 def available(spark, root):
     li = table(spark, root, "lineitem").select("l_orderkey", (C("l_linenumber") - 1).cast("bigint").alias("note"), "l_returnflag", "l_linestatus")
     a = li.filter("l_returnflag <> 'N'").select("l_orderkey", "note").distinct()
-    out = IO.available(a, li.filter("l_linestatus = 'O'"), "l_orderkey", "note", 0, 12000)
+    out = IO.available(a, li.filter("l_linestatus = 'O'"), "l_orderkey", "note")
     return out.select("l_orderkey", (C("note") + 1).alias("l_linenumber"))
 
 

@@ -118,9 +118,10 @@ def contiguous(notes: DataFrame, sample: str, note: str) -> DataFrame:
     return notes.join(gap, sample).filter(F.col(note) < F.col("_gap")).drop("_gap")
 
 
-def available(a: DataFrame, b: DataFrame, sample: str, note: str, start: int, end: int) -> DataFrame:
-    """Keys of the contiguous notes of ``a`` that ``b`` holds too."""
-    inside = a.filter(F.col(sample).between(start, end - 1))
+def available(a: DataFrame, b: DataFrame, sample: str, note: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Keys of the contiguous notes of ``a`` that ``b`` holds too; samples start <= key < end where given."""
+    inside = a if start is None else a.filter(F.col(sample) >= start)
+    inside = inside if end is None else inside.filter(F.col(sample) < end)
     return contiguous(inside, sample, note).join(b.select(sample, note), [sample, note], "left_semi")
 
 

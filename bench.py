@@ -3,11 +3,14 @@
 BENCH_SF_DIR   data folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_QUERIES  comma-separated names, or 'all' (default: the headline list)
+BENCH_DUCKDB   seconds that DuckDB may take for each query's SQL on the same
+               cores; its times are printed beside (default: not measured)
 """
 
 import json
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,6 +28,32 @@ HEADLINE = [
 ]
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def duckdb_seconds(root, names, most):
+    """Time of each query's SQL; None where it was stopped after ``most`` seconds."""
+    import duckdb
+    con = duckdb.connect(config={"threads": int(os.environ.get("BENCH_CPUS", "8"))})
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{root}/{t}.parquet'")
+    out = {}
+    for name in names:
+        if name not in catalogue.SQL:
+            continue
+        stop = threading.Timer(most, con.interrupt)
+        stop.start()
+        start = time.time()
+        try:
+            con.execute(catalogue.SQL[name]).fetchall()
+            out[name] = round(time.time() - start, 3)
+        except duckdb.InterruptException:
+            out[name] = None
+        finally:
+            stop.cancel()
+    return out
+
+
 def main():
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     wanted = os.environ.get("BENCH_QUERIES", "")
@@ -42,6 +71,8 @@ def main():
         print(f"{name} {times.get(name, 'FAILED')}", file=sys.stderr, flush=True)
     out = {"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
            "sf": os.path.basename(root.rstrip("/"))}
+    if os.environ.get("BENCH_DUCKDB"):
+        out["duckdb"] = duckdb_seconds(root, names, float(os.environ["BENCH_DUCKDB"]))
     if failed:
         out["failed"] = failed
     print(json.dumps(out), flush=True)
