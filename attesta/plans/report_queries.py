@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import report as R
 from ..sources.tables import table
@@ -16,7 +17,9 @@ from .window_queries import _rubric_sql, rubric_values
 
 C = F.col
 
-_SEC = "(['Subjective', 'Objective', 'Assessment', 'Plan', 'Follow-up', 'Preamble'])[1 + idx % 6]"
+# every fourth sentence of a turn is read as a header line
+_SEC = """coalesce(last_value(CASE WHEN idx % 4 = 2 THEN (['Subjective', 'Objective', 'Assessment', 'Plan', 'Follow-up'])[1 + (idx // 4 + turn) % 5] END IGNORE NULLS)
+ OVER (PARTITION BY conv_id, turn ORDER BY idx), 'Preamble')"""
 _BAND = "round(avg((uncertainty >= {a} AND uncertainty < {b})::INT), 9) AS share_q{i}"
 _BANDS = ", ".join(_BAND.format(a=a, b=b, i=i) for i, (a, b) in enumerate([(0, .25), (.25, .5), (.5, .75), (.75, 1.001)], 1))
 
@@ -25,8 +28,11 @@ _BANDS = ", ".join(_BAND.format(a=a, b=b, i=i) for i, (a, b) in enumerate([(0, .
 SELECT list_position(['Subjective', 'Objective', 'Assessment', 'Plan', 'Follow-up', 'All'], section)::BIGINT AS position, section, count(*)::BIGINT AS n, {_BANDS}, round(avg(uncertainty), 9) AS mean_u FROM k GROUP BY section""")
 def section_table(spark, root):
     """Which sections hold the least supported sentences?"""
-    names = F.array(*[F.lit(s) for s in K.TABLE_SECTIONS + ["Preamble"]])
-    rows = turn_uncertainty(spark, root).withColumn("section", F.get(names, (C("idx") % 6).cast("int")))
+    heads = F.array(*[F.lit(f"{s}:") for s in K.TABLE_SECTIONS])
+    marked = F.transform(T.sentences(C("text")), lambda s, i: F.when(
+        i % 4 == 2, F.get(heads, ((F.floor(i / 4) + C("turn")) % 5).cast("int"))).otherwise(s))
+    sections = table(spark, root, "conversations").select("conv_id", "turn", F.posexplode(T.fill_sections(marked)).alias("idx", "section"))
+    rows = turn_uncertainty(spark, root).join(sections.withColumn("idx", C("idx").cast("bigint")), ["conv_id", "turn", "idx"])
     out = R.section_table(rows, "section", "uncertainty")
     return out.select("position", "section", "n", *[F.round(f"share_q{i}", 9).alias(f"share_q{i}") for i in range(1, 5)], F.round("mean_u", 9).alias("mean_u"))
 
