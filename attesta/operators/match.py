@@ -24,6 +24,35 @@ def locate_tiers(rows: DataFrame, text: str, span: str) -> DataFrame:
                     .otherwise("unmatched")).drop("_exact", "_word")
 
 
+def locate_chain(text: Column, spans: Column, vectors: Column, clauses: Column, floor: float) -> Column:
+    """struct<spans, verified, synthesised> of one fact: each span by its exact place, its words or its nearest clause.
+
+    ``spans`` are strings and ``vectors`` their vectors, ``clauses`` holds
+    start, end and vec of the text's clauses.  A later tier is only evaluated
+    where the earlier ones fail.  The third takes the clause with the largest
+    cosine (the first of equals) from ``floor`` on, if there is more than one
+    clause.  A fact is verified when every span was placed, and synthesised when
+    it draws on more than one.
+    """
+    kind = "struct<start:int,end:int,method:string>"
+
+    def at(place, method):
+        return T.let(place, lambda p: F.when(p.isNotNull(), F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(method).alias("method"))).cast(kind))
+
+    def nearest(vec):
+        scored = F.transform(clauses, lambda c, i: F.struct(
+            F.round(F.try_divide(T.dot(vec, c["vec"]), F.sqrt(T.dot(vec, vec)) * F.sqrt(T.dot(c["vec"], c["vec"]))), 9).alias("cos"),
+            (-i).alias("i"), c["start"].alias("start"), c["end"].alias("end")))
+        return T.let(F.array_max(scored), lambda best: F.when((F.size(clauses) > 1) & (best["cos"] >= floor), best))
+
+    def place(span, vec):
+        return F.coalesce(at(T.find_span(text, span), "exact"), at(W.longest_run(text, span), "word"), at(nearest(vec), "semantic"),
+                          F.struct(F.lit(None).alias("start"), F.lit(None).alias("end"), F.lit("unmatched").alias("method")).cast(kind))
+
+    return T.let(F.zip_with(spans, vectors, place), lambda placed: F.struct(
+        placed.alias("spans"), F.forall(placed, lambda x: x["method"] != "unmatched").alias("verified"), (F.size(spans) > 1).alias("synthesised")))
+
+
 def semantic_tier(nearest: DataFrame, clauses: DataFrame, block: str, floor: float) -> DataFrame:
     """Nearest clause of a span, refused below ``floor`` or with a single clause."""
     many = clauses.groupBy(block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(block)

@@ -163,6 +163,27 @@ def quadrants(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return df.join(med, by).withColumn("quadrant", name).drop("_ma", "_mb")
 
 
+def absent_values(claims: DataFrame, sample: str, gen: str, kind: str, value: str, kinds: list[str]) -> DataFrame:
+    """(sample, gen, kind, entropy, found, position): the values of the other generations for every kind that one lacks.
+
+    ``found`` lists value:count, the most frequent first; kinds are ordered by
+    the entropy of their values.  Values are counted before they are gathered.
+    """
+    keys = [sample, kind]
+    counts = claims.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_t"))
+    share = F.col("_n") / F.col("_t")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))))
+    summary = counts.join(total, keys).groupBy(*keys).agg(
+        (F.round(-F.sum(share * F.ln(share)), 6) + 0.0).alias("entropy"),
+        F.array_join(F.transform(listed, lambda x: F.concat(x["v"].cast("string"), F.lit(":"), (-x["n"]).cast("string"))), " ").alias("found"))
+    wanted = claims.select(sample, gen).distinct().withColumn(kind, F.explode(F.array(*[F.lit(k) for k in kinds])))
+    absent = wanted.join(claims.select(sample, gen, kind).distinct(), [sample, gen, kind], "left_anti")
+    order = Window.partitionBy(sample, gen).orderBy(F.desc("entropy"), kind)  # at most one row per kind
+    return absent.join(summary, keys).withColumn("position", F.row_number().over(order).cast("bigint")) \
+        .select(sample, gen, kind, "entropy", "found", "position")
+
+
 QUADRANTS = ("extractive", "parametric", "synthesized", "hallucinatory")
 
 

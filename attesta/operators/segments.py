@@ -55,7 +55,7 @@ def paired_share(note: Column, source: Column, n: int) -> Column:
     def grams(c):
         return T.ngrams(T.words(F.lower(c)), n)
 
-    return F.round(share(grams(note), grams(source)), 4)
+    return T.share4(share(grams(note), grams(source)))
 
 
 def paired_uncovered(note: Column, source: Column, n: int = 3) -> Column:

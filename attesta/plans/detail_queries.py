@@ -9,10 +9,12 @@ from ..functions import sql as S
 from ..functions import text as T
 from ..functions import windows as W
 from ..operators import labels as L
+from ..operators import match as M
 from ..operators import score as U
 from ..operators import segments as G
 from ..sources.tables import table
 from .label_queries import _FIVE_SQL, _JUDGED, SENT, _five, judged
+from .match_queries import _RUN, _pattern
 from .registry import query
 from .stand_ins import document_sentences, documents
 
@@ -34,7 +36,7 @@ _PAIRS = f"p AS (SELECT a.conv_id, a.turn, {S.words('lower(a.text)')} AS w, {S.w
 
 
 @query("extractive_pairs_t21", f"""WITH {_PAIRS}, g AS (SELECT conv_id, turn, list_distinct({_gram_list('w', 4)}) AS a, list_distinct({_gram_list('v', 4)}) AS b FROM p)
-SELECT conv_id, turn, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 4)::DOUBLE AS share FROM g""")
+SELECT conv_id, turn, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0) + 1e-9, 4)::DOUBLE AS share FROM g""")
 def extractive_pairs(spark, root):
     return turn_pairs(spark, root).select("conv_id", "turn", G.paired_share(C("note"), C("source"), 4).alias("share"))
 
@@ -166,3 +168,58 @@ def verdict_crosstab(spark, root):
     strict = L.strict_label(C("label"), C("fact"), C("flagged"))
     new = F.when(C("label") == "Faithful", "faithful").when((C("label") != "PARSE_ERROR") & (strict == 1), "error").otherwise("none")
     return L.confusion(j.select(old.alias("old_verdict"), new.alias("new_verdict")), "old_verdict", "new_verdict")
+
+
+@query("absent_values_u12", """WITH h AS (SELECT user_id, floor(epoch(ts) / 86400)::BIGINT AS day, event_type, floor(value / 50)::BIGINT AS v FROM events WHERE value IS NOT NULL),
+g AS (SELECT DISTINCT user_id, day FROM h), k AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type),
+c AS (SELECT user_id, event_type, v, count(*) AS n FROM h GROUP BY 1, 2, 3), t AS (SELECT user_id, event_type, sum(n) AS total FROM c GROUP BY 1, 2),
+s AS (SELECT user_id, event_type, round(-sum(n / total * ln(n / total)), 6) + 0.0 AS entropy, string_agg(concat(v, ':', n), ' ' ORDER BY n DESC, v) AS found FROM c JOIN t USING (user_id, event_type) GROUP BY 1, 2),
+a AS (SELECT user_id, day, event_type FROM g CROSS JOIN k ANTI JOIN h USING (user_id, day, event_type))
+SELECT user_id, day, event_type, entropy, found, row_number() OVER (PARTITION BY user_id, day ORDER BY entropy DESC, event_type) AS position FROM a JOIN s USING (user_id, event_type)""")
+def absent_values(spark, root):
+    """What the other generations say about a claim type that one of them leaves out, the least settled type first."""
+    ev = table(spark, root, "events").filter("value is not null").select(
+        "user_id", F.unix_date(F.to_date("ts")).cast("bigint").alias("day"), "event_type", F.floor(C("value") / 50).alias("v"))
+    return U.absent_values(ev, "user_id", "day", "event_type", "v", ["click", "error", "purchase", "signup", "view"])
+
+
+_LETTERS = "etaoin"
+
+
+def letter_counts(c):
+    """Stand-in for a sentence vector: how often six letters occur."""
+    low = F.lower(c)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
+
+
+def _letters_sql(e):
+    return "[" + ", ".join(f"(length(lower({e})) - length(replace(lower({e}), '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
+
+
+_CHAIN_COS = "round(list_dot_product(sv, cv) / nullif(sqrt(list_dot_product(sv, sv)) * sqrt(list_dot_product(cv, cv)), 0), 9)"
+
+
+@query("locate_chain_p2", f"""WITH {SENT}, two AS (SELECT doc_id, idx, s, 0 AS k, CASE idx % 3 WHEN 0 THEN lower(substr(s, 3)) WHEN 1 THEN array_to_string(list_reverse({S.words('s')}), ' ') ELSE replace(replace(lower(s), 'e', 'ee'), 'h', 'q') END AS span FROM sent
+ UNION ALL SELECT doc_id, idx, s, 1, replace(lower(s), 'h', 'xx') FROM sent WHERE idx % 4 = 0),
+sp AS (SELECT doc_id, idx * 2 + k AS idx, s, span FROM two),
+x AS (SELECT *, regexp_extract(s, {_pattern('span')}) AS m1, regexp_extract(s, '(?i)' || {_pattern('span')}) AS m2 FROM sp),
+ex AS (SELECT *, CASE WHEN m1 <> '' THEN m1 ELSE m2 END AS m FROM x),
+miss AS (SELECT doc_id, idx, s, list_distinct({S.content_words('span')}) AS q FROM ex WHERE m = ''), {_RUN},
+lost AS (SELECT ex.doc_id, ex.idx, ex.s, {_letters_sql('span')} AS sv, regexp_extract_all(s, '[^,;]+') AS h, regexp_split_to_array(s, '[^,;]+') AS g FROM ex LEFT JOIN best USING (doc_id, idx) WHERE m = '' AND st IS NULL),
+cl AS (SELECT doc_id, idx, sv, i, len(h) AS nh, h[i] AS c, {_letters_sql('h[i]')} AS cv, (list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0))::BIGINT AS cs
+ FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM lost)),
+near AS (SELECT doc_id, idx, cs, cs + length(c) AS ce FROM (SELECT *, {_CHAIN_COS} AS cos FROM cl) WHERE nh > 1 AND cos >= 0.9 QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY cos DESC, i) = 1),
+pl AS (SELECT ex.doc_id, ex.idx // 2 AS idx, ex.idx % 2 AS k, CASE WHEN m <> '' THEN strpos(s, m) - 1 WHEN st IS NOT NULL THEN st ELSE cs END AS a, CASE WHEN m <> '' THEN strpos(s, m) - 1 + length(m) WHEN st IS NOT NULL THEN en ELSE ce END AS z,
+ CASE WHEN m <> '' THEN 'exact' WHEN st IS NOT NULL THEN 'word' WHEN cs IS NOT NULL THEN 'semantic' ELSE 'unmatched' END AS method FROM ex LEFT JOIN best USING (doc_id, idx) LEFT JOIN near USING (doc_id, idx))
+SELECT doc_id, idx::BIGINT AS idx, string_agg(concat(method, ':', coalesce(a, -1)::BIGINT, ':', coalesce(z, -1)::BIGINT), ' ' ORDER BY k) AS placed, bool_and(method <> 'unmatched') AS verified, count(*) > 1 AS synthesised FROM pl GROUP BY 1, 2""")
+def locate_chain(spark, root):
+    """Exact, word and nearest-clause tiers in one chain, with clause vectors from the caller."""
+    s = C("s")
+    first = (F.when(C("idx") % 3 == 0, F.lower(F.substr(s, F.lit(3)))).when(C("idx") % 3 == 1, F.array_join(F.reverse(T.words(s)), " "))
+             .otherwise(F.replace(F.replace(F.lower(s), F.lit("e"), F.lit("ee")), F.lit("h"), F.lit("q"))))
+    spans = F.when(C("idx") % 4 == 0, F.array(first, F.replace(F.lower(s), F.lit("h"), F.lit("xx")))).otherwise(F.array(first))
+    clauses = F.transform(T.match_spans(s, "[^,;]+"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), letter_counts(x["text"]).alias("vec")))
+    rows = document_sentences(spark, root).withColumn("spans", spans)
+    done = rows.select("doc_id", "idx", M.locate_chain(s, C("spans"), F.transform("spans", letter_counts), clauses, 0.9).alias("r"))
+    text = F.array_join(F.transform("r.spans", lambda x: F.concat_ws(":", x["method"], F.coalesce(x["start"], F.lit(-1)), F.coalesce(x["end"], F.lit(-1)))), " ")
+    return done.select("doc_id", "idx", text.alias("placed"), C("r.verified").alias("verified"), C("r.synthesised").alias("synthesised"))

@@ -211,7 +211,7 @@ def content_type(spark, root):
 
 
 def _share(test):
-    return f"round(len(list_filter(w, lambda x: {test})) / (len(w) + 1), 4)"
+    return f"round(len(list_filter(w, lambda x: {test})) / (len(w) + 1) + 1e-9, 4)"
 
 
 _BARE = "regexp_replace(lower(x), '[,.;]+$', '')"
@@ -223,7 +223,7 @@ SELECT doc_id, {_share("regexp_matches(x, '^[A-Z][a-z]+$')")} AS entity_density,
  {_share(f"list_contains({S.sql_list(K.NEGATION_WORDS)}, {_BARE})")} AS negation_density,
  (len(regexp_extract_all(text, '(?i)(?:doctor|physician|dr\\.?)\\s*:')) + len(regexp_extract_all(text, '(?i)patient\\s*:')))::BIGINT AS speaker_turns,
  len(w)::BIGINT AS source_words,
- round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / (len(w) + 1), 4) AS type_token_ratio FROM k""")
+ round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / (len(w) + 1) + 1e-9, 4) AS type_token_ratio FROM k""")
 def complexity(spark, root):
     cols = T.complexity(C("text"))
     return documents(spark, root).select("doc_id", *[v.alias(k) for k, v in cols.items()])
