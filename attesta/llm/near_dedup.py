@@ -99,8 +99,21 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
         run, f"_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
+PARITY = [f"m{i}" for i in range(8)]
+
+
+def parity_map(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """(n_rows, 8) longs: for each of 512 hash slots whether an odd number of the row's elements falls into it.
+
+    Two maps differ in at most as many bits as the sets differ in elements.
+    """
+    slot = (mix(value + np.uint64(13)) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(row * 512 + slot, minlength=512 * n_rows).reshape(n_rows, 512) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(_id, words array<long>) of (_id, _text)."""
+    """(_id, set array<long>, parity map) of (_id, _text)."""
     def run(batches):
         for batch in small_batches(batches, "_text"):
             data, offsets = text_bytes(batch.column(1))
@@ -108,10 +121,11 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
             starts, ends, row = word_spans(data, offsets)
             row, value = shingles(word_hashes(data, starts, ends), row, batch.num_rows, size)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            odd = parity_map(row, value, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))], names=["_id", "set"])
+                pa.array(ends, pa.int32()), pa.array(value.view(np.int64))), *[pa.array(odd[:, i]) for i in range(8)]], names=["_id", "set", *PARITY])
 
-    return texts.mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, set array<long>")
+    return texts.mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, set array<long>, " + ", ".join(f"{m} long" for m in PARITY))
 
 
 def possible_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -121,6 +135,8 @@ def possible_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     first.  If the first common shingle of two sets is at places i and j, they
     share at most min(n - i, m - j).  So only the places up to which a set could
     still reach the bound are joined, and only pairs that can reach it pass.
+    Of what they share at most (n + m - d) / 2 is left when their parity maps
+    differ in d bits, which sorts out most of the rest; both bounds are exact.
     """
     held = sets.join(crowd.withColumnRenamed("rep", "_id"), "_id").select("_id", "comp", F.size("set").alias("n"), F.explode("set").alias("e"))
     often = held.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
@@ -128,15 +144,20 @@ def possible_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     first = ranked.select("_id", "comp", "n", F.posexplode(F.slice("order", F.lit(1), reach)).alias("i", "x")).filter("x.often > 1") \
         .select("_id", "comp", "n", "i", F.col("x.e").alias("e"))
-    x, y = first.toDF("a", "ca", "na", "ia", "e"), first.toDF("b", "cb", "nb", "ib", "e")
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    met = x.join(y, (x["e"] == y["e"]) & (F.col("ca") < F.col("cb")) & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
+    first = first.join(sets.select("_id", *PARITY), "_id")
+    x, y = (first.select(F.col("_id").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), F.col("e").alias(f"e{s}"),
+                         *[F.col(m).alias(m + s) for m in PARITY]) for s in "ab")
+    differ = sum((F.bit_count(F.col(m + "a").bitwiseXOR(F.col(m + "b"))) for m in PARITY[1:]), F.bit_count(F.col("m0a").bitwiseXOR(F.col("m0b"))))
+    both = F.col("na") + F.col("nb")
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"), F.floor((both - differ) / 2))
+    met = x.join(y, (F.col("ea") == F.col("eb")) & (F.col("ca") < F.col("cb")) & (most * (100 + percent) >= both * percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs with 100 * |intersection| >= percent * |union| on the full sets."""
-    met = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    plain = sets.select("_id", "set")
+    met = pairs.join(plain.toDF("b", "sb"), "b").join(plain.toDF("a", "sa"), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return met.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from attesta.llm.near_dedup import drop_near_copies, near_groups, superminhash
+from attesta.llm.near_dedup import drop_near_copies, near_groups, parity_map, superminhash
 
 
 def words(text):
@@ -93,6 +93,16 @@ def test_signature_estimates_similarity():
         assert (np.sort(sig[:2] % 1, axis=None) >= 0).all()
 
 
+def test_parity_maps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(7)
+    pool = rng.integers(1, 2**62, 4000, dtype=np.uint64)
+    for n in (1, 40, 900):
+        a, b = rng.choice(pool, n, replace=False), rng.choice(pool, n, replace=False)
+        odd = parity_map(np.repeat([0, 1], [n, n]), np.concatenate([a, b]), 2)
+        bits = int(np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum())
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (odd[0] ^ odd[0] == 0).all()
+
+
 def test_repeats_nulls_and_empty_table(docs):
     t = " ".join(f"w{i}" for i in range(30))
     got = [tuple(r)[2:] for r in near_groups(docs([(5, t), (5, t), (None, t), (7, t), (9, None)])).orderBy("doc_id").collect()]
