@@ -67,7 +67,7 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op7_decontaminate")
 def op7(spark: SparkSession, root: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"), words=13)
 
 
 @query("op8_mixing")

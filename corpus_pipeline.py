@@ -6,7 +6,7 @@ the last return the columns of ``documents``:
 1. toxicity: rows with an expected severity from 0.5 on go (model fitted on ``labels``);
 2. exact dedup: of equal texts the row with the largest id stays;
 3. near dedup: one row of each group of texts that share 80 % of their five-word shingles stays;
-4. decontamination: rows that hold a passage of ``benchmark`` go;
+4. decontamination: rows that hold a passage of ``benchmark``, from 13 words on, go;
 5. mixing: how many words of each row the mix of sources takes.
 """
 
@@ -34,7 +34,7 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), words=13)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

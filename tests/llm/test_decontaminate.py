@@ -89,3 +89,36 @@ def test_empty_tables(spark, docs):
     assert contaminated(docs([(1, "a")]), bench).count() == 0 and drop_contaminated(docs([(1, "a")]), bench).count() == 1
     bench = spark.createDataFrame([(1, "some text that is long enough")], "item_id long, text string")
     assert contaminated(docs([]), bench).count() == 0
+
+
+def test_every_run_of_thirteen_words_is_found(spark, docs):
+    rng = random.Random(8)
+
+    def prose(n, most=10):
+        return ["".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(1, most))) for _ in range(n)]
+
+    items = [(k, prose(rng.randint(14, 60), rng.choice([3, 6, 10]))) for k in range(30)]
+    rows = []
+    for i in range(300):
+        k, w = items[i % 30]
+        n = rng.randint(13, min(len(w), 20))
+        a = rng.randint(0, len(w) - n)
+        rows.append((i, " ".join(prose(30) + [x.upper() for x in w[a:a + n]]) + ",\n" + " ".join(prose(rng.choice([0, 30])))))
+    solid = "".join(rng.choice("漢字仮名交文日本語大小") for _ in range(120))  # no white space: 27 of these are 81 bytes
+    rows += [(1000 + i, " ".join(prose(5)) + solid[a:a + 27] + "z") for i, a in enumerate(rng.randint(0, 93) for _ in range(20))]
+    clean = [(2000 + i, " ".join(prose(40) + items[i][1][1:6] + prose(40))) for i in range(8)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(99, solid)], "item_id long, text string")
+    want = {(i, i % 30) for i in range(300)} | {(1000 + i, 99) for i in range(20)}
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs(rows + clean), bench, words=13).collect()} == want
+    assert {r["doc_id"] for r in drop_contaminated(docs(rows + clean), bench, words=13).collect()} == {i for i, _ in clean}
+
+
+def test_a_changed_pair_of_words_leaves_the_runs_beside_it(spark, docs):
+    rng = random.Random(9)
+    w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    row = (5, "before " + " ".join([*w[:14], "other", "things", *w[16:]]) + " after")
+    got = contaminated(docs([row]), bench, words=13).collect()
+    assert [r["item_id"] for r in got] and min(r["start"] for r in got) == 7 and max(r["end"] for r in got) == len(row[1]) - 6
+    typo = (6, "before " + " ".join([*w[:5], "x" + w[5][1:], *w[6:13]]) + " after")
+    assert [1 <= r["edits"] <= 3 for r in contaminated(docs([typo]), bench, words=13).collect()] == [True]
