@@ -10,13 +10,16 @@ text is read once, where it lies, and nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import SEPARATOR, lower_bytes
-from .license_texts import TEMPLATES
+from .license_texts import BEFORE_VERSION, LICENCE_NAMES, TELLING, TELLING_PAIRS, TEMPLATES
 from .words import IS_SPACE, mix, small_batches, word_hashes, word_spans
 
 
@@ -27,6 +30,33 @@ def word_list(data: np.ndarray, offsets: np.ndarray):
     return word_hashes(flat, starts, ends), starts, ends, row
 
 
+NUMBER = re.compile(rb"v?([0-9]+)")
+#: Templates of fewer words must meet each of their telling words.
+SHORT = 40
+
+
+def telling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Counter, Counter]:
+    """Version numbers and variants that some words name (``4.0`` is 4, ``2.1`` is 2 and 1), and the names of licences."""
+    words = [data[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist())]
+    kinds, names, version = Counter(), Counter(w for w in words if w in LICENCE_NAMES), False
+    for i, w in enumerate(words):
+        before = words[i - 1] if i else b""
+        kind = TELLING.get(w) or TELLING_PAIRS.get((before, w))
+        number = NUMBER.fullmatch(w)
+        joined = bool(i) and version and dotted(data, starts, ends, i)
+        version = bool(number) and (joined or before in BEFORE_VERSION)
+        if version and not (joined and w == b"0"):
+            kind = number[1].decode()
+        if kind:
+            kinds[kind] += 1
+    return kinds, names
+
+
+def dotted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: int) -> bool:
+    """Whether word ``i`` follows the one before after a full stop alone, as in 2.1."""
+    return starts[i] == ends[i - 1] + 1 and data[ends[i - 1]] == 46
+
+
 def kgrams(words: np.ndarray, k: int) -> np.ndarray:
     if len(words) < k:
         return np.zeros(0, np.uint64)
@@ -50,11 +80,13 @@ class Index:
 
     def __init__(self, templates: dict[str, str], k: int, window: int):
         self.k, self.names, self.words = k, list(templates), []
+        self.telling: list[tuple[Counter, Counter]] = []
         posting = []
         for t, text in enumerate(templates.values()):
             data, offsets = lower_bytes(pa.array([text], pa.large_string()))
-            words = word_list(data, offsets)[0]
+            words, starts, ends, _ = word_list(data, offsets)
             grams = kgrams(words, k)
+            self.telling.append(telling(data, starts, ends))
             self.words.append(words.tolist())
             # a short notice keeps every k-gram: one changed word may leave it only one
             posting += [(int(grams[p]), t, int(p)) for p in winnowed(grams, window if len(words) >= 8 * window else 1)]
@@ -63,6 +95,12 @@ class Index:
         self.template = np.array([p[1] for p in posting], np.int64)
         self.pos = np.array([p[2] for p in posting], np.int64)
 
+    def same_licence(self, t: int, kinds: Counter, names: Counter) -> bool:
+        """Whether a text with these telling words can be template ``t``: none is added; in a short template none is missing either."""
+        if len(self.words[t]) < SHORT:
+            return (kinds, names) == self.telling[t]
+        return not self.telling[t][0] or not set(kinds) - set(self.telling[t][0])
+
     def hits(self, grams: np.ndarray):
         low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
         place = np.flatnonzero(high > low)
@@ -114,11 +152,20 @@ def scan_rows(index: Index, data: np.ndarray, offsets: np.ndarray, least: float)
         a = max(int(first[r]), low - slack)
         z = min(int(last[r]), high + len(index.words[t]) + slack)
         met, f, e = aligned(index.words[t], words[a:z].tolist(), (low + high) // 2 - a, slack + (high - low + 1) // 2)
-        if met >= least * len(index.words[t]):
+        if met < least * len(index.words[t]):
+            continue
+        z = a + e + 1
+        while z < last[r] and words_of_digits(data, starts, ends, z) and dotted(data, starts, ends, z):
+            z += 1  # the rest of a version number
+        if index.same_licence(t, *telling(data, starts[a + f:z], ends[a + f:z])):
             found.append((r, t, met / len(index.words[t]), met, int(starts[a + f]), int(ends[a + e])))
     return strongest(found)
 
 
+def words_of_digits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: int) -> bool:
+    return NUMBER.fullmatch(data[starts[i]:ends[i]].tobytes()) is not None
+
+
 def strongest(found: list[tuple]) -> list[tuple]:
     """Of overlapping matches in a row the one with the most matched words stays, then the better covered, then the first name."""
     kept: list[tuple] = []
@@ -134,7 +181,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     Words are runs of letters and digits in lower case.  ``coverage`` is the
     share of the template's words that the text meets in order; from ``least``
-    on it is a match.  ``start`` and ``end`` count characters of the text.
+    on it is a match, unless the words that tell relatives apart (version, NC, SA,
+    ND, Lesser, Affero) differ: none may be added, and a template of fewer than
+    ``SHORT`` words must meet all of them and its licence's name.  ``start`` and ``end`` count characters of the text.
     Overlapping matches leave the one with the most words.  NULL and empty
     texts have none; repeated rows are reported again; other columns aren't read.
     """

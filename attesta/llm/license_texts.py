@@ -58,3 +58,70 @@ CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
 }
+
+_GNU = """This {thing} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later
+version. This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."""
+
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
+TEMPLATES |= {
+    "AGPL-3.0": _GNU.format(thing="program", a=":", b=",", kind="Affero ", version="3"),
+    "LGPL-2.0": _GNU.format(thing="library", a=";", b=";", kind="Library ", version="2"),
+    "LGPL-2.1": _GNU.format(thing="library", a=";", b=";", kind="Lesser ", version="2.1"),
+    "LGPL-3.0": _GNU.format(thing="program", a=":", b=",", kind="Lesser ", version="3"),
+    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
+    "AGPL-3.0 line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1 line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MPL-2.0 line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which
+is available at http://www.eclipse.org/legal/epl-2.0""",
+    "EPL-1.0": """All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public
+License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this
+software to the public domain worldwide. This software is distributed without any warranty.""",
+    "CC0-1.0 line": "Released under the CC0 1.0 Universal Public Domain Dedication.",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
+any and all copyright interest in the software to the public domain.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product,
+an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly
+marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any
+source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit
+the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do
+so, all subject to the following""",
+    "BSL-1.0 line": "Distributed under the Boost Software License, Version 1.0.",
+    "Apache-2.0 head": """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE,
+REPRODUCTION, AND DISTRIBUTION 1. Definitions.""",
+    "MPL-2.0 head": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    "GPL-2.0 head": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}",
+    "GPL-3.0 head": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}",
+    "AGPL-3.0 head": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}",
+    "LGPL-2.1 head": f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM}",
+    "LGPL-3.0 head": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}",
+}
+for _version, _form in (("4.0", "International"), ("3.0", "Unported")):
+    for _kind, _long in (("", ""), ("-NC", "-NonCommercial"), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"),
+                         ("-NC-ND", "-NonCommercial-NoDerivatives")):
+        for _name, _text in (("line", f"Licensed under CC BY{_kind} {_version}."),
+                             ("sentence", f"This work is licensed under a Creative Commons Attribution{_long} {_version} {_form} License.")):
+            if _text not in TEMPLATES.values():
+                TEMPLATES[f"CC-BY{_kind}-{_version} {'short line' if f'CC-BY{_kind}-{_version} {_name}' in TEMPLATES else _name}"] = _text
+
+#: Words that tell related licences apart, by what they stand for; pairs are two words in a row.
+TELLING = {b"affero": "affero", b"lesser": "lesser", b"nc": "nc", b"noncommercial": "nc", b"sa": "sa", b"sharealike": "sa", b"nd": "nd", b"noderivatives": "nd",
+           b"noderivs": "nd"}
+TELLING_PAIRS = {(b"gnu", b"library"): "library", (b"non", b"commercial"): "nc", (b"share", b"alike"): "sa", (b"no", b"derivatives"): "nd", (b"no", b"derivs"): "nd"}
+#: Words after which a number is the licence's version.
+BEFORE_VERSION = frozenset(b"""version v license licence attribution noncommercial commercial sharealike alike noderivatives noderivs derivatives derivs by nc sa
+nd cc0 gpl lgpl agpl mpl epl bsl apache""".split())
+#: Names of licences: a short line without its name says nothing.
+LICENCE_NAMES = frozenset(b"mit bsd isc apache mozilla mpl eclipse epl gnu gpl lgpl agpl boost zlib unlicense cc cc0 creative".split())

@@ -64,3 +64,22 @@ def test_winnowing_keeps_one_of_every_window():
 def test_alignment():
     assert aligned([1, 2, 3, 4], [9, 1, 2, 8, 4, 9], 1, 2) == (3, 1, 4)
     assert aligned([1, 2], [], 0, 1) == (0, -1, -1)
+
+
+RELATIVES = {
+    "Licensed under CC BY 4.0.": "CC-BY-4.0 short line", "Licensed under a CC-BY-SA 4.0 licence": "CC-BY-SA-4.0 line", "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0 line",
+    "Licensed under CC BY-NC 3.0.": "CC-BY-NC-3.0 line", "Licensed under CC BY-NC 2.5.": None, "Licensed under CC BY 2.0.": None,
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0 line", "This work is licensed under the GNU General Public License, version 1.": None,
+    "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0 line", "This work is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1 line",
+    "This work is licensed under the GNU Lesser General Public License, version 2.": None, "Released under the BSD License.": None, "Licensed under the Apache License, Version 1.1.": None,
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0 sentence",
+    "This work is licensed under the GNU General Public License, version 3.0.": "GPL-3.0 line",
+    TEMPLATES["GPL-3.0"].replace("version 3", "version 4"): None, TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Affero General"): "AGPL-3.0",
+}
+
+
+def test_relatives_are_told_apart(docs):
+    got = {}
+    for r in scan(docs(list(enumerate("so it is. " + t + " Thanks" for t in RELATIVES)))).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert {t: got.get(i) for i, t in enumerate(RELATIVES)} == {t: [n] if n else None for t, n in RELATIVES.items()}
