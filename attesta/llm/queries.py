@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, pitman_yor, quality, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, pitman_yor, quality, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return license_scan.scan(table(spark, root, "documents"))
+
+
+@query("op13_simhash_dedup")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, root, "documents"))

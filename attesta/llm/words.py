@@ -124,3 +124,14 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tup
         fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
         row, value = row[fresh], value[fresh]
     return row, value
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separator: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The spans one after another, each followed by one separator byte, and where each begins."""
+    lens = ends - starts
+    first = np.cumsum(lens) - lens
+    begin = first + np.arange(len(lens))
+    out = np.full(int(lens.sum()) + len(lens), separator, np.uint8)
+    each = np.arange(int(lens.sum()))
+    out[each + np.repeat(begin - first, lens)] = data[each + np.repeat(starts - first, lens)]
+    return out, begin

@@ -17,6 +17,7 @@ COLUMNS = {
     "op7_decontaminate": {"doc_id", "item_id", "start", "end", "edits", "segments"},
     "op8_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op9_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+    "op13_simhash_dedup": {"doc_id", "fingerprint", "component_id"},
     "op10_license_scan": {"doc_id", "license", "coverage", "matched_words", "start", "end"},
 }
 
