@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, pitman_yor, quality, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, pitman_yor, prefix_trie, quality, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,36 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
 @query("op13_simhash_dedup")
 def op13(spark: SparkSession, root: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, root, "documents"))
+
+
+@query("op11_prefix_trie", """
+    with bytes as (
+      select list(v order by i) as t from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as v
+        from range(256) r(i))),
+    seqs as (
+      select conv_id as c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, ''),
+          left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32)) as s
+      from conversations where conv_id is not null group by conv_id),
+    spread as (
+      select c, s, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+          lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 6 as h
+      from seqs, bytes),
+    whole as (
+      select a.c, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) as q
+      from spread a left join seqs b on b.c = a.c - a.c % 100),
+    paths as (select c, d, q[1:d] as p, d = len(q) as ends from (select c, q, unnest(range(len(q) + 1)) as d from whole)),
+    nodes as (
+      select p, d, min(c) as lo, count(*) as n, string_agg(c::varchar, ',' order by c) filter (ends) as names,
+             case when d = 0 then 0 else (count(*) - 1) * length(p[d].t) end as saved
+      from paths group by p, d),
+    kids as (select a.p, count(*) as kids from nodes a join nodes b on b.d = a.d + 1 and b.p[1:a.d] = a.p group by a.p),
+    below as (
+      select a.p, sum(b.saved) as saved, count(*) filter (k.kids is null) as leaves
+      from nodes a join nodes b on b.d >= a.d and b.p[1:a.d] = a.p left join kids k on k.p = b.p group by a.p)
+    select n.lo as conv_id, n.d as depth, u.lo as parent_conv_id, n.n as n_convs, coalesce(k.kids, 0) as n_children,
+           b.leaves as n_leaves, b.saved::bigint as saved_tokens, sha256(coalesce(n.names, '')) as ends_sha256,
+           case when n.d > 0 then left(sha256(length(n.p[n.d].r) || ':' || n.p[n.d].r || n.p[n.d].t), 32) end as turn_id
+    from nodes n join below b on b.p = n.p left join kids k on k.p = n.p left join nodes u on u.d = n.d - 1 and n.p[1:u.d] = u.p""")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, root, "conversations"))))
