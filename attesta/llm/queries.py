@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, pitman_yor, prefix_trie, quality, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_extraction, license_scan, mixing, near_dedup, phrases, pitman_yor, prefix_trie, quality, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,31 @@ def op13(spark: SparkSession, root: str) -> DataFrame:
     from nodes n join below b on b.p = n.p left join kids k on k.p = n.p left join nodes u on u.d = n.d - 1 and n.p[1:u.d] = u.p""")
 def op11(spark: SparkSession, root: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, root, "conversations"))))
+
+
+@query("op12_collocations", r"""
+    with words as (
+      select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+]')), '[^ 	]+') as w
+      from documents),
+    grams as (
+      select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, w[i:i + k - 1] as w
+      from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, range(1, 6) ks(k) where len(w) >= k)),
+    f as (select lang, k, phrase, any_value(w) as w, count(*) as f from grams group by lang, k, phrase having k = 1 or count(*) >= 100),
+    totals as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+    cand as (select * from f where k > 1),
+    parts as (select lang, f, k, array_to_string(w[i:i + m - 1], ' ') as phrase
+      from (select lang, w, f, k, m, unnest(range(1, k - m + 2)) as i from cand, range(2, 5) ms(m) where m < k)),
+    kept as (select c.* from cand c where not exists (select 1 from parts p where p.lang = c.lang and p.phrase = c.phrase and 100 * p.f >= 100 * c.f)),
+    cuts as (
+      select c.lang, c.phrase, c.f as a, j as c, l.f as l, r.f as r, n, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f) as score
+      from (select *, unnest(range(1, k)) as j from kept) c
+      join f l on l.lang = c.lang and l.k = j and l.phrase = array_to_string(c.w[1:j], ' ')
+      join f r on r.lang = c.lang and r.k = c.k - j and r.phrase = array_to_string(c.w[j + 1:], ' ')
+      join totals t on t.lang = c.lang),
+    best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1)
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+    from best qualify rank <= 2000""")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    return phrases.collocations(table(spark, root, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,12 +64,12 @@ def small_batches(batches, text: str, most_bytes: int = 1 << 20) -> Iterator[pa.
             first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``; words never cross rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes that are no ``gaps`` (words ``[^\\x20\\x09-\\x0D]+``); words never cross rows."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~IS_SPACE[data]
+    solid = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -135,3 +136,36 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separator: in
     each = np.arange(int(lens.sum()))
     out[each + np.repeat(begin - first, lens)] = data[each + np.repeat(starts - first, lens)]
     return out, begin
+
+
+LONG_WORD = 1024
+TAIL = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each span, eight at a time, every block mixed before the next.
+
+    Unlike a polynomial modulo 2**64 it has no strings that collide whatever
+    the constants are.  Spans above ``LONG_WORD`` bytes are digested one by one.
+    """
+    lens = ends - starts
+    code = mix(lens.astype(np.uint64) * BASE + np.uint64(seed))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    on, at = np.flatnonzero((lens > 0) & (lens <= LONG_WORD)), 0
+    while len(on):
+        block = padded[(starts[on] + at)[:, None] + np.arange(8)].view(np.uint64).ravel() & TAIL[np.minimum(lens[on] - at, 8)]
+        code[on] = mix((code[on] ^ block) * BASE + np.uint64(seed + 1))
+        at += 8
+        on = on[lens[on] > at]
+    for i in np.flatnonzero(lens > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, key=str(seed).encode()).digest()
+        code[i] = np.frombuffer(digest, np.uint64)[0]
+    return code
+
+
+def sliced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """String column of spans that may overlap; the bytes are valid UTF-8 between them."""
+    lens = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lens)])
+    picked = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lens)]
+    return pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(picked)).cast(pa.string())

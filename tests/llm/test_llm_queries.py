@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op9_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
     "op11_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256", "turn_id"},
+    "op12_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
     "op13_simhash_dedup": {"doc_id", "fingerprint", "component_id"},
     "op10_license_scan": {"doc_id", "license", "coverage", "matched_words", "start", "end"},
 }
