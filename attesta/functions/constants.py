@@ -233,3 +233,26 @@ COSINE_SUPPORT = 0.95
 COSINE_NEGATION = 0.93
 COSINE_DUPLICATE = 0.92
 MIN_FACT_WORDS = 3
+
+# --- fixed values: rules of Porter's stemmer, with its usual irregular words ---
+IRREGULAR_STEMS = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
+STEM_PLURAL = [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")]
+STEM_DOUBLE = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("fulli", "ful"),
+]
+STEM_TRIPLE = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+]
+STEM_DROPPED = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize",
+]

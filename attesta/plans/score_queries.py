@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sql as S
+from ..functions import stem as M
 from ..functions import text as T
 from ..operators import dedupe as D
 from ..operators import score as U
@@ -212,6 +213,38 @@ def overlap_metrics(spark, root):
                         r6(U.rouge_l(tok("hyp"), tok("ref")), "rouge_l"))
 
 
+ROUGE_TOKENS = "list_transform(list_zip({0}, {1}), lambda p: CASE WHEN length(p[1]) > 3 THEN p[2] ELSE p[1] END)"
+
+
+def rouge_tokens_sql(text):
+    tokens = f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
+    return ROUGE_TOKENS.format(tokens, M.stems_sql(tokens))
+
+
+@query("stemmed_overlap_u18", f"""WITH p AS (SELECT a.conv_id, a.turn, {S.words('lower(b.text)')} AS h, {S.words('lower(a.text)')} AS r,
+ {rouge_tokens_sql('b.text')} AS ht, {rouge_tokens_sql('a.text')} AS rt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+w AS (SELECT conv_id, turn, 0 AS side, unnest(range(len(h))) AS i, unnest(h) AS w, unnest({M.stems_sql('h')}) AS s FROM p
+ UNION ALL SELECT conv_id, turn, 1, unnest(range(len(r))), unnest(r), unnest({M.stems_sql('r')}) FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, side, w ORDER BY i DESC) AS k FROM w),
+e AS (SELECT a.conv_id, a.turn, a.i, b.i AS j FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.side = 0 AND b.side = 1 AND a.w = b.w AND a.k = b.k),
+o AS (SELECT conv_id, turn, side, i, s, row_number() OVER (PARTITION BY conv_id, turn, side, s ORDER BY i DESC) AS k FROM w WHERE NOT EXISTS (
+ SELECT 1 FROM e WHERE e.conv_id = w.conv_id AND e.turn = w.turn AND w.i = CASE w.side WHEN 0 THEN e.i ELSE e.j END)),
+m AS (SELECT * FROM e UNION ALL SELECT a.conv_id, a.turn, a.i, b.i FROM o a JOIN o b
+ ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.side = 0 AND b.side = 1 AND a.s = b.s AND a.k = b.k),
+l AS (SELECT *, lag(i) OVER x AS pi, lag(j) OVER x AS pj FROM m WINDOW x AS (PARTITION BY conv_id, turn ORDER BY i)),
+c AS (SELECT conv_id, turn, count(*)::DOUBLE AS n, count(*) FILTER (pi IS NULL OR i <> pi + 1 OR j <> pj + 1) AS runs FROM l GROUP BY ALL),
+k AS (SELECT *, {S.lcs('ht', 'rt')} AS n FROM p)
+SELECT k.conv_id, k.turn, round(CASE WHEN k.n > 0 THEN 2.0::DOUBLE * k.n / (len(ht) + len(rt)) ELSE 0 END, 6)::DOUBLE AS rouge_l,
+ round(coalesce((1 - 0.5::DOUBLE * pow(c.runs / c.n, 3)) * ((c.n / len(h)) * (c.n / len(r)) / (0.9::DOUBLE * (c.n / len(h)) + (1 - 0.9::DOUBLE) * (c.n / len(r)))), 0), 6) AS meteor
+FROM k LEFT JOIN c ON c.conv_id = k.conv_id AND c.turn = k.turn""")
+def stemmed_overlap(spark, root):
+    conv = table(spark, root, "conversations").select("conv_id", "turn", C("text").alias("ref"))
+    hyp = table(spark, root, "conversations").select("conv_id", (C("turn") - 1).alias("turn"), C("text").alias("hyp"))
+    return spread(conv).join(hyp, ["conv_id", "turn"]).select(
+        "conv_id", "turn", r6(U.rouge_l(M.rouge_tokens(C("hyp")), M.rouge_tokens(C("ref"))), "rouge_l"),
+        r6(M.meteor(T.words(F.lower("hyp")), T.words(F.lower("ref"))), "meteor"))
+
+
 @query("most_uncertain_u19", """SELECT user_id, round(avg(value), 6) AS mean_u FROM events GROUP BY 1 ORDER BY avg(value::DECIMAL(18, 2)) DESC, user_id LIMIT 10""")
 def most_uncertain(spark, root):
     means = table(spark, root, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
