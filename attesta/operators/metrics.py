@@ -7,10 +7,13 @@ no window ever holds a whole group.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import cut
 from .ordered import UP, id_bucket, running_sums, value_bucket, with_position
 
 ONE = "_one"
@@ -148,9 +151,9 @@ def select_top_fraction(df: DataFrame, idc: str, score: str, fraction: float, ke
     rows = df.filter(F.col(score).isNotNull()).withColumn("_a", F.abs(score))
     hist = rows.groupBy("_a").agg(F.count(F.lit(1)).alias("_c"))
     upto = running_sums(hist, [], [F.desc("_a")], {"_upto": F.col("_c")}, -value_bucket(F.col("_a")))
-    cut = with_scalar(upto, total).withColumn("_left", F.col("_k") - (F.col("_upto") - F.col("_c"))).filter("_left > 0") \
+    edge = with_scalar(upto, total).withColumn("_left", F.col("_k") - (F.col("_upto") - F.col("_c"))).filter("_left > 0") \
         .select("_a", "_c", "_left")
-    chosen = rows.join(cut, "_a")
+    chosen = rows.join(edge, "_a")
     if keep_ties:
         return chosen.select(*df.columns)
     whole = chosen.filter("_c <= _left").select(*df.columns)
@@ -347,27 +350,111 @@ def calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
         F.avg(p).alias("predicted"), F.avg(y).alias("observed"), F.count(F.lit(1)).alias("n"))
 
 
+BLOCK_BYTES = 16 << 20
+
+
+def replicate_weights(groups: DataFrame, size: int, first: int, last: int, seed: str) -> np.ndarray:
+    """(size, last - first) how often replicate r draws group g; ``BLOCK_BYTES`` at most.
+
+    A draw is 60 bits of one md5 modulo the number of groups (a bias below
+    ``size`` / 2**60); one row per group lists the replicates that drew it.
+    """
+    slots = groups.select(F.col("_g").alias("_slot"), F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("rep"))
+    picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("_slot"))), 1, 15), 16, 10).cast("bigint") % size
+    drawn = slots.select(picked.alias("_g"), (F.col("rep") - first).alias("rep")).groupBy("_g").agg(F.collect_list("rep").alias("reps")).toArrow()
+    lists = drawn.column("reps").combine_chunks()
+    owner = np.repeat(drawn.column("_g").to_numpy(), lists.value_lengths().to_numpy())
+    counts = np.zeros((size, last - first), np.int32)
+    np.add.at(counts, (owner, lists.flatten().to_numpy()), 1)
+    return counts.astype(np.min_scalar_type(counts.max()))
+
+
+def weighted_areas(rows: DataFrame, weights: np.ndarray, step: int = 1 << 22) -> DataFrame:
+    """(at, pos, neg, twice): per range of scores and for every column of ``weights`` its rows of both classes and twice its area.
+
+    ``rows`` are (_g, score, pos, neg).  They are dealt out by score once; a task
+    runs through its sorted rows in slices, with one running count of negatives
+    per column.  Nothing per score and replicate leaves the task.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    least = max(1, step // weights.shape[1])
+
+    def run(batches):
+        w, at, held = shared.value, None, []
+        pos, neg, twice = (np.zeros(w.shape[1], np.int64) for _ in range(3))
+
+        def tied(tables):
+            """Slices of whole scores, of about ``least`` rows."""
+            rest = None
+            for batch in tables:
+                for i in range(0, batch.num_rows, least):
+                    part = [c.to_numpy() for c in batch.slice(i, least).columns]
+                    rest = part if rest is None else [np.concatenate(c) for c in zip(rest, part)]
+                    whole = int(np.searchsorted(rest[1], rest[1][-1]))
+                    if whole:
+                        yield [c[:whole] for c in rest]
+                        rest = [c[whole:] for c in rest]
+                    elif len(rest[1]) > least:  # many groups with one score: their sums are all that counts
+                        g, score, p, n = rest
+                        held.append((w[g].T.astype(np.int64) @ p, w[g].T.astype(np.int64) @ n))
+                        rest = [g[-1:], score[-1:], p[-1:] * 0, n[-1:] * 0]
+            if rest is not None:
+                yield rest
+
+        for g, score, p, n in tied(batches):
+            at = score[0] if at is None else at
+            start = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+            drawn = w[g].astype(np.int64)
+            ps, ns = np.add.reduceat(drawn * p[:, None], start), np.add.reduceat(drawn * n[:, None], start)
+            for more_p, more_n in held:
+                ps[0] += more_p
+                ns[0] += more_n
+            held.clear()
+            up = neg + np.cumsum(ns, axis=0)
+            twice += (ps * (2 * up - ns)).sum(0)
+            pos += ps.sum(0)
+            neg = up[-1]
+        if at is not None:
+            yield pa.RecordBatch.from_pydict({"at": [at], **{k: pa.array([v]) for k, v in (("pos", pos), ("neg", neg), ("twice", twice))}})
+
+    ordered = rows.select("_g", "score", "pos", "neg").repartitionByRange("score").sortWithinPartitions("score")
+    return ordered.mapInArrow(run, "at double, pos array<long>, neg array<long>, twice array<long>")
+
+
+def joined_areas(parts: DataFrame, first: int) -> DataFrame:
+    """(rep, auroc) of the ranges of ``weighted_areas``: a range's positives lie above all negatives of the ranges before it."""
+    each = parts.select("at", F.posexplode(F.arrays_zip("pos", "neg", "twice")).alias("rep", "x")).select("at", (F.col("rep") + first).alias("rep"), "x.*")
+    before = F.sum("neg").over(Window.partitionBy("rep").orderBy("at").rowsBetween(UP, -1))
+    area = each.withColumn("_u", F.col("twice") / 2 + F.col("pos").cast("double") * F.coalesce(before, F.lit(0)))
+    sums = area.groupBy("rep").agg(F.sum("_u").alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).filter("_p > 0 and _n > 0")
+    return sums.select("rep", (F.col("_u") / F.col("_p") / F.col("_n")).alias("auroc"))
+
+
 def cluster_bootstrap(df: DataFrame, group: str, y: str, score: str, reps: int, seed: str) -> DataFrame:
     """Percentile interval of the AUROC over whole groups drawn with replacement.
 
-    A replicate is a table of multiplicities per group; it weights the
-    per-group histogram, so no row is copied.  Groups are numbered by the order
-    of their md5, and a draw is 60 bits of one modulo the number of groups.
+    A replicate is a column of multiplicities per group, held as one array; it
+    weights the per-group histogram, so no row is copied.  Groups are numbered
+    by the order of their md5.  As many replicates as fit ``BLOCK_BYTES`` of
+    multiplicities are one pass over the histogram, which is written once.
     """
-    by_group = histogram(df, [group], y, score)
+    by_group = cut(histogram(df, [group], y, score))
     named = by_group.select(group).distinct().withColumn("_h", F.md5(F.col(group).cast("string")))
-    groups = with_position(named, [], ["_h", group], F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint"), "_g").drop("_h")
-    size = groups.agg(F.count(F.lit(1)).alias("_size"))
-    slots = with_scalar(groups.select(F.col("_g").alias("_slot")), size)
-    draws = slots.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "_slot", "_size")
-    picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("_slot"))), 1, 15), 16, 10).cast("bigint") % F.col("_size")
-    weights = draws.select("rep", picked.alias("_g")).groupBy("rep", "_g").agg(F.count(F.lit(1)).alias("_w")).join(groups, "_g")
-    drawn = weights.join(by_group, group).groupBy("rep", "score").agg(
-        F.sum(F.col("_w") * F.col("pos")).alias("pos"), F.sum(F.col("_w") * F.col("neg")).alias("neg"))
-    spread = auroc(drawn, ["rep"]).filter("auroc is not null").agg(
-        F.percentile("auroc", 0.025).alias("low"), F.percentile("auroc", 0.975).alias("high"), F.count(F.lit(1)).alias("n_reps"))
-    point = auroc(by_group.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), [])
-    return with_scalar(spread, point.select("auroc"))
+    groups = cut(with_position(named, [], ["_h", group], F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint"), "_g").drop("_h"))
+    size = groups.count()
+    rows = by_group.join(groups, group)
+    block, areas = max(1, BLOCK_BYTES // max(1, 4 * size)), None
+    for first in range(0, reps if size else 0, block):
+        weights = replicate_weights(groups, size, first, min(reps, first + block), seed)
+        if not first:  # the data themselves, as replicate -1
+            weights = np.concatenate([np.ones((size, 1), weights.dtype), weights], axis=1)
+        part = joined_areas(weighted_areas(rows, weights), first - (not first))
+        areas = part if areas is None else areas.unionByName(part)
+    if areas is None:
+        areas = df.sparkSession.createDataFrame([], "rep int, auroc double")
+    drawn = F.when(F.col("rep") >= 0, F.col("auroc"))
+    return areas.agg(F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"), F.count(drawn).alias("n_reps"),
+                     F.max(F.when(F.col("rep") < 0, F.col("auroc"))).alias("auroc"))
 
 
 def ecdf(df: DataFrame, by: list[str], x: str) -> DataFrame:
