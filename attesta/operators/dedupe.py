@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,29 +24,73 @@ def dedupe_first(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
     return first.select("_row.*").select(*df.columns)
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, idc: str) -> DataFrame:
-    """Ids kept by a first-come pass: a kept id drops its later neighbours.
+def greedy_keep(nodes: DataFrame, edges: DataFrame, idc: str, most: int = 1 << 20, log: list | None = None) -> DataFrame:
+    """Ids kept by a first-come pass in the order of the ids: a kept id drops its later neighbours.
 
-    ``edges`` has ``before`` and ``after``.  Each round keeps the undecided ids
-    without an undecided predecessor and drops their successors, which gives
-    the result of the sequential pass.  Only ids with a predecessor take part.
+    ``edges`` has ``before`` < ``after``.  Components do not touch each other, so
+    each is settled by one pass over its edges, sorted, in a task that runs
+    through many components and remembers the dropped ids of the one at hand.
+    Only components above ``most`` edges are settled in rounds across tasks.
+    Ids without an edge are kept; ``log`` receives one entry per round.
     """
     edges = cut(edges.select("before", "after").distinct())
-    ids = cut(edges.select(F.explode(F.array("before", "after")).alias("id")).distinct())
+    placed = edges.join(components(edges, "before", "after"), F.col("before") == F.col("id")).drop("id")
+    counts = placed.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    sized = cut(placed.join(counts, "component"))
+    dropped = greedy_pass(sized.filter(F.col("_n") <= most))
+    large = sized.filter(F.col("_n") > most).select("before", "after")
+    if not large.isEmpty():
+        dropped = dropped.unionByName(greedy_rounds(large, log))
+    return nodes.join(dropped.select(F.col("id").alias(idc)), idc, "left_anti")
+
+
+def greedy_pass(edges: DataFrame) -> DataFrame:
+    """Dropped ids of whole components (component, before, after), read once in order.
+
+    All that comes before an id is decided when its edges are read.
+    """
+    kind = edges.schema["after"].dataType.simpleString()
+
+    def run(batches):
+        here, dropped, last, goes = None, set(), None, False
+        for batch in batches:
+            out = []
+            for component, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                if component != here or after != last:
+                    if goes:
+                        out.append(last)
+                        dropped.add(last)
+                    if component != here:
+                        here, dropped = component, set()
+                    last, goes = after, False
+                goes = goes or before not in dropped
+            yield pa.RecordBatch.from_pydict({"id": pa.array(out, batch.schema.field("after").type)})
+        if goes:
+            yield pa.RecordBatch.from_pydict({"id": pa.array([last], batch.schema.field("after").type)})
+
+    return edges.select("component", "before", "after").repartition("component").sortWithinPartitions("component", "after", "before").mapInArrow(run, f"id {kind}")
+
+
+def greedy_rounds(edges: DataFrame, log: list | None = None) -> DataFrame:
+    """Dropped ids, settled a front at a time.
+
+    Each round keeps the undecided ids without an undecided predecessor and
+    drops their successors, which gives the result of the sequential pass.
+    """
+    undecided = cut(edges.select(F.explode(F.array("before", "after")).alias("id")).distinct())
     dropped = None
-    undecided = ids
     while True:
         live = edges.join(undecided.withColumnRenamed("id", "before"), "before", "left_semi") \
             .join(undecided.withColumnRenamed("id", "after"), "after", "left_semi")
         blocked = live.select(F.col("after").alias("id")).distinct()
         kept = undecided.join(blocked, "id", "left_anti")
-        out = live.join(kept.withColumnRenamed("id", "before"), "before", "left_semi").select(F.col("after").alias("id")).distinct()
-        out = cut(out)
+        out = cut(live.join(kept.withColumnRenamed("id", "before"), "before", "left_semi").select(F.col("after").alias("id")).distinct())
         undecided = cut(undecided.join(kept, "id", "left_anti").join(out, "id", "left_anti"))
         dropped = out if dropped is None else dropped.unionByName(out)
+        if log is not None:
+            log.append(1)
         if undecided.isEmpty():
-            break
-    return nodes.join(dropped.select(F.col("id").alias(idc)), idc, "left_anti")
+            return dropped
 
 
 def star_round(edges: DataFrame) -> DataFrame:
@@ -98,17 +146,38 @@ SPAN = "struct<start:int,end:int,id:int,score:double>"
 
 
 def longest_first(spans: Column) -> Column:
-    """Placed spans of one text: the longest first, then the first seen.
+    """Placed spans of one text: the longest first, then the first seen; what overlaps a kept span goes.
 
-    ``spans`` is array<struct<start,end,id,score>> of one text.
+    ``spans`` is array<struct<start,end,id,score>> of one text.  Kept spans do not
+    overlap, so their starts and ends stay sorted together and one binary search
+    finds the two that a new span could touch.  An empty span touches what it
+    lies inside of.
     """
-    ranked = F.array_sort(F.transform(spans, lambda x: F.struct(
-        (x["start"] - x["end"]).alias("neg"), x["id"].alias("id"), x["start"].alias("start"), x["end"].alias("end"),
-        x["score"].alias("score"))))
-    return F.aggregate(ranked, F.array().cast(f"array<{SPAN}>"), lambda acc, x: F.when(
-        F.exists(acc, lambda p: (x["start"] < p["end"]) & (x["end"] > p["start"])), acc,
-    ).otherwise(F.array_append(acc, F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), x["id"].alias("id"), x["score"].alias("score")))))
+    @F.arrow_udf(f"array<{SPAN}>")
+    def choose(column: pa.Array) -> pa.Array:
+        flat = column.flatten() if not column.null_count else column.drop_null().flatten()
+        start, end, number = (flat.field(n).to_numpy() for n in ("start", "end", "id"))
+        lengths = column.value_lengths().fill_null(0).to_numpy()
+        row = np.repeat(np.arange(len(column)), lengths)
+        taken, ends = [], np.zeros(len(column) + 1, np.int32)
+        firsts, lasts, now = [], [], -1
+        for at in np.lexsort((number, start - end, row)).tolist():
+            if row[at] != now:
+                firsts, lasts, now = [], [], row[at]
+            a, z = int(start[at]), int(end[at])
+            i = bisect_right(lasts, a)  # the first kept span that ends behind the start
+            if i < len(firsts) and firsts[i] < z:
+                continue
+            i = bisect_left(firsts, a)
+            firsts.insert(i, a)
+            lasts.insert(i, z)
+            taken.append(at)
+            ends[now + 1] += 1
+        kept = pa.StructArray.from_arrays([flat.field(n).take(pa.array(taken, pa.int64())).cast(t) for n, t in (
+            ("start", pa.int32()), ("end", pa.int32()), ("id", pa.int32()), ("score", pa.float64()))], names=["start", "end", "id", "score"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), kept)
+
+    return choose(spans)
 
 
 def higher_score(spans: Column) -> Column:
