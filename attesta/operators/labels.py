@@ -41,6 +41,22 @@ def strict_label(sentence_label: Column, fact: Column, flagged: Column) -> Colum
     return F.when(y == 0, y).when((y == 1) & F.arrays_overlap(T.long_words(fact), T.long_words(flagged)), y)
 
 
+def loose_facts(rows: DataFrame, fact: str, label: str, flagged: str, clean: str) -> DataFrame:
+    """Add ``loose`` (every fact of a bad sentence is 1) and ``touches``: a fact word above 3 characters occurs in the flagged span.
+
+    Only facts with a clean match and a known label stay.
+    """
+    inside = F.exists(T.words(F.col(fact)), lambda w: (F.length(w) > 3) & F.contains(F.lower(F.col(flagged)), F.lower(w)))
+    return rows.filter(F.coalesce(F.col(clean), F.lit(False))).withColumn("loose", binary_label(F.col(label))).filter("loose is not null") \
+        .withColumn("touches", F.coalesce(inside, F.lit(False)))
+
+
+def overlap_rate(facts: DataFrame, by: list[str], uncertainty: str, flagged: str, floor: float = 0.5) -> DataFrame:
+    """(by, n, rate): of the uncertain facts of bad sentences with a flagged span, the share that touches it."""
+    wanted = (F.col(uncertainty) > floor) & (F.col("loose") == 1) & (F.coalesce(F.col(flagged), F.lit("")) != "")
+    return facts.filter(wanted).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("touches").cast("int")).alias("rate"))
+
+
 def span_label(sentence: Column, sentence_label: Column, fact_span: Column, flagged: Column) -> Column:
     """struct<y,method> from character overlap inside the sentence, else words."""
     y = binary_label(sentence_label)

@@ -73,6 +73,18 @@ def align_by_position(a: DataFrame, b: DataFrame, by: list[str], order: list, bu
     return left.join(right, [*by, "pos"])
 
 
+def align_content(a: DataFrame, b: DataFrame, by: list[str], order: list, bucket: Column, text: str, cols: list[str]) -> DataFrame:
+    """``align_by_position`` of what is no header: lines that end in a colon are left out of both lists first."""
+    plain_a, plain_b = (x.filter(~F.coalesce(T.ends_with_colon(F.col(text)), F.lit(False))) for x in (a, b))
+    return align_by_position(plain_a, plain_b, by, order, bucket, cols)
+
+
+def position_mismatch(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_a, n_b) where the two lists differ in length, so that alignment by position leaves some out."""
+    both = a.select(*by, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*by, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    return both.groupBy(*by).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b")).filter("n_a <> n_b")
+
+
 def position_groups(sents: DataFrame, notes: DataFrame, sample: str, note: str, pos: str, s: str) -> DataFrame:
     """One row per note and position; notes that are shorter are padded with ''."""
     longest = sents.groupBy(sample).agg(F.max(pos).alias("_last"))
@@ -242,6 +254,24 @@ def label_words(words: Column, spans: Column, default: str, cell: int = 256) ->
         F.array_max(F.transform(found, lambda w: w["end"] - w["start"])), lambda longest: on_grid(found, longest))))
 
 
+def located_spans(text: Column, spans: Column) -> Column:
+    """struct<n_spans,n_located,spans>: how many spans were tried and found, and where.
+
+    ``spans`` is array<struct<span,category>>; blank ones are not tried.  The
+    search is tolerant of blanks and case; places are in the order of the
+    spans, ready for ``label_words``.
+    """
+    tried = F.filter(spans, lambda x: F.trim(F.regexp_replace(x["span"], "\\s+", " ")) != "")
+
+    def found(kept):
+        places = F.zip_with(T.find_spans(text, F.transform(kept, lambda x: x["span"])), kept, lambda at, x: F.when(at.isNotNull(), F.struct(
+            at["start"].alias("start"), at["end"].alias("end"), x["category"].alias("category"))))
+        return T.let(F.filter(places, lambda p: p.isNotNull()), lambda hits: F.struct(
+            F.size(kept).alias("n_spans"), F.size(hits).alias("n_located"), hits.alias("spans")))
+
+    return T.let(tried, found)
+
+
 def pair_within(df: DataFrame, group: str, label: str, idc: str, seed: str) -> DataFrame:
     """Positives and negatives of a group shuffled by a seeded hash and zipped."""
     mixed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(idc))))

@@ -16,7 +16,7 @@ from ..sources.tables import table
 from .label_queries import _FIVE_SQL, _JUDGED, SENT, _five, judged
 from .match_queries import _RUN, _pattern
 from .registry import query
-from .stand_ins import document_sentences, documents
+from .stand_ins import document_sentences, documents, notes
 
 C = F.col
 
@@ -147,7 +147,80 @@ WHERE event_type IN ('click', 'view') GROUP BY 1 HAVING count(*) FILTER (event_t
 def position_mismatch(spark, root):
     """Users whose two lists differ in length, so that alignment by position leaves some out."""
     ev = table(spark, root, "events")
-    return ev.groupBy("user_id").agg(F.count_if(C("event_type") == "click").alias("n_a"), F.count_if(C("event_type") == "view").alias("n_b")).filter("n_a <> n_b")
+    return M.position_mismatch(ev.filter("event_type = 'click'"), ev.filter("event_type = 'view'"), ["user_id"])
+
+
+_LISTS = f"""{S.NOTES}, a AS (SELECT doc_id, i AS idx, l[i] AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(note, chr(10)) AS l FROM notes))),
+b AS (SELECT doc_id, i AS idx, CASE WHEN i % 4 = 0 THEN l[i] || ' :' ELSE l[i] END AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+ca AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS pos FROM a WHERE NOT ends_with({S.strip('s')}, ':')),
+cb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS pos FROM b WHERE NOT ends_with({S.strip('s')}, ':'))"""
+
+
+def two_lists(spark, root):
+    """Lines of a note with headers, and of its document with other headers."""
+    with_heads = notes(spark, root).select("doc_id", F.posexplode(F.split("note", "\n")).alias("idx", "s"))
+    plain = documents(spark, root).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "s")) \
+        .withColumn("s", F.when((C("idx") + 1) % 4 == 0, F.concat("s", F.lit(" :"))).otherwise(C("s")))
+    return with_heads, plain
+
+
+@query("align_content_p8", f"""WITH {_LISTS} SELECT doc_id, pos::BIGINT AS pos, (ca.idx - 1)::BIGINT AS a_idx, (cb.idx - 1)::BIGINT AS b_idx, ca.s = cb.s AS same FROM ca JOIN cb USING (doc_id, pos)""")
+def align_content(spark, root):
+    a, b = two_lists(spark, root)
+    out = M.align_content(a, b, ["doc_id"], ["idx"], F.floor(C("idx") / 4096), "s", ["idx", "s"])
+    return out.select("doc_id", "pos", C("a_idx").cast("bigint").alias("a_idx"), C("b_idx").cast("bigint").alias("b_idx"), (C("a_s") == C("b_s")).alias("same"))
+
+
+@query("content_mismatch_p8", f"""WITH {_LISTS}, na AS (SELECT doc_id, count(*) AS n FROM ca GROUP BY 1), nb AS (SELECT doc_id, count(*) AS n FROM cb GROUP BY 1)
+SELECT doc_id, coalesce(na.n, 0)::BIGINT AS n_a, coalesce(nb.n, 0)::BIGINT AS n_b FROM na FULL JOIN nb USING (doc_id) WHERE coalesce(na.n, 0) <> coalesce(nb.n, 0)""")
+def content_mismatch(spark, root):
+    """Documents whose lists differ in length once headers are stripped."""
+    a, b = (x.filter(~T.ends_with_colon(C("s"))) for x in two_lists(spark, root))
+    return M.position_mismatch(a, b, ["doc_id"])
+
+
+_FLAGGED = "(doc_id * 7 + idx * 13) % 10 / 10.0::DOUBLE AS u, (idx + doc_id) % 5 <> 0 AS clean, CASE WHEN idx % 3 = 0 THEN '' ELSE flagged END AS given"
+
+
+@query("loose_labels_j3", f"""WITH {SENT}, {_JUDGED}, x AS (SELECT *, {_FLAGGED} FROM jd),
+y AS (SELECT doc_id, idx, u, given, CASE WHEN label = 'Faithful' THEN 0 ELSE 1 END AS loose, len(list_filter({S.words('fact')}, lambda w: length(w) > 3 AND contains(lower(given), lower(w)))) > 0 AS touches
+ FROM x WHERE clean AND label <> 'PARSE_ERROR')
+SELECT source, (count(*))::BIGINT AS n_facts, sum(loose)::BIGINT AS n_loose, count(*) FILTER (u > 0.5 AND loose = 1 AND given <> '')::BIGINT AS n,
+ round(avg(touches::INT) FILTER (u > 0.5 AND loose = 1 AND given <> ''), 6) AS rate FROM y JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1""")
+def loose_labels(spark, root):
+    """Loose labels by source, and how often an uncertain fact of a bad sentence touches the flagged span."""
+    rows = judged(spark, root).withColumn("u", (C("doc_id") * 7 + C("idx") * 13) % 10 / 10.0).withColumn("clean", (C("idx") + C("doc_id")) % 5 != 0) \
+        .withColumn("given", F.when(C("idx") % 3 == 0, "").otherwise(C("flagged")))
+    facts = L.loose_facts(rows, "fact", "label", "given", "clean").join(table(spark, root, "documents").select("doc_id", "source"), "doc_id")
+    counts = facts.groupBy("source").agg(F.count(F.lit(1)).alias("n_facts"), F.sum("loose").alias("n_loose"))
+    return counts.join(L.overlap_rate(facts, ["source"], "u", "given"), "source", "left") \
+        .select("source", "n_facts", "n_loose", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.round("rate", 6).alias("rate"))
+
+
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _single(text):
+    return f"regexp_replace({text}, '\\s+', ' ', 'g')"
+
+
+_TRIES = f"""CASE k % 5 WHEN 0 THEN substr(text, k * 50 + 1, 30) WHEN 1 THEN translate(substr(text, k * 50 + 1, 30), '{_SMALL}', '{_LARGE}') WHEN 2 THEN replace(substr(text, k * 50 + 1, 30), ' ', '  ')
+ WHEN 3 THEN 'zq ' || substr(text, k * 50 + 1, 30) ELSE '  ' END"""
+
+
+@query("spans_located_p12", f"""WITH d AS (SELECT doc_id, text, {S.strip(_single('text'))} AS hay FROM documents),
+k AS (SELECT doc_id, hay, lower(hay) AS low, list_transform(range(0, length(text) // 50 + 1), lambda k: {S.strip(_single(_TRIES))}) AS spans FROM d)
+SELECT doc_id, len(list_filter(spans, lambda x: x <> ''))::BIGINT AS n_spans, len(list_filter(spans, lambda x: x <> '' AND (contains(hay, x) OR contains(low, lower(x)))))::BIGINT AS n_located FROM k""")
+def spans_located(spark, root):
+    """Spans tried and located in each text: exact, in other case, with wider blanks, absent, blank."""
+    def piece(k):
+        return F.substr(C("text"), k * 50 + 1, F.lit(30))
+
+    spans = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 50).cast("int")), lambda k: F.struct(
+        F.when(k % 5 == 0, piece(k)).when(k % 5 == 1, F.translate(piece(k), _SMALL, _LARGE)).when(k % 5 == 2, F.replace(piece(k), F.lit(" "), F.lit("  ")))
+        .when(k % 5 == 3, F.concat(F.lit("zq "), piece(k))).otherwise("  ").alias("span"), F.lit("Fabrication").alias("category")))
+    return documents(spark, root).select("doc_id", M.located_spans(C("text"), spans).alias("r")) \
+        .select("doc_id", C("r.n_spans").cast("bigint").alias("n_spans"), C("r.n_located").cast("bigint").alias("n_located"))
 
 
 @query("contribution_fractions_u20", """SELECT l_suppkey, round(sum(abs(l_discount)) / nullif(sum(abs(l_discount)) + sum(abs(l_tax)), 0), 6) AS first_fraction,
