@@ -96,13 +96,16 @@ def moments_of(by: list[str], y: str, x) -> Summary:
     return lambda rows: moments(rows, by, y, x)
 
 
-def histogram_of(by: list[str], y: str, score, digits: int = 2) -> Summary:
+def histogram_of(by: list[str], y: str, score, digits: int | None = None) -> Summary:
     """Score histogram: the state behind AUROC and average precision.
 
-    Scores are rounded to ``digits`` decimals, which bounds the state by the
-    range of the scores; scores closer than that count as equal.
+    Exact by default: a row per distinct score, which Spark sums and ranks over
+    as many tasks as it takes.  Rounding to ``digits`` decimals bounds the state
+    by the range of the scores instead; scores closer than that count as equal.
+    Rows without a score take no part.
     """
-    return lambda rows: rows.groupBy(*by, F.round(score, digits).alias("score")).agg(
+    value = score.cast("double") if digits is None else F.round(score, digits)
+    return lambda rows: rows.filter(score.isNotNull()).groupBy(*by, value.alias("score")).agg(
         F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.sum((F.col(y) == 0).cast("bigint")).alias("neg"))
 
 

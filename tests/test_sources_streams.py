@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from attesta.operators.metrics import d_from_moments, moments
+from attesta.operators.metrics import auroc, d_from_moments, histogram, moments
 from attesta.sources import io as IO
 from attesta.streaming import live as S
 
@@ -91,3 +91,20 @@ def test_repeated_and_torn_batches_and_compaction(spark, tmp_path):
     S.compact(spark, ["layer"], out)
     same(S.state(spark, ["layer"], out), 9)
     same(feed(10, 16), 16)
+
+
+def test_running_auroc_is_exact(spark, tmp_path):
+    """Unrounded scores over three batches, one repeated and one torn: the same as one batch over all."""
+    src, out = tmp_path / "in", str(tmp_path / "state")
+    rows = spark.range(600).select((C("id") % 3).alias("layer"), (C("id") % 2).alias("y"), F.when(C("id") % 50 != 0, F.sin(C("id") * 7) / 3).alias("x"), (C("id") % 3).alias("part"))
+    summary = S.histogram_of(["layer"], "y", C("x"))
+    for part in range(3):
+        rows.filter(C("part") == part).drop("part").coalesce(1).write.mode("append").parquet(str(src))
+        stream = S.file_stream(spark, str(src), "*.parquet", "layer bigint, y bigint, x double", files_per_batch=1)
+        S.run_available(stream, summary, ["layer", "score"], out)
+    summary(rows.filter("part = 1")).write.mode("overwrite").parquet(f"{out}/delta/batch=1")
+    S.mark(spark, out, "done", 1)
+    summary(rows).write.parquet(f"{out}/delta/batch=9")
+    got = auroc(S.state(spark, ["layer", "score"], out), ["layer"])
+    want = auroc(histogram(rows, ["layer"], "y", "x"), ["layer"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
