@@ -66,17 +66,17 @@ def match_by_text(rows: DataFrame, lookup: DataFrame, keys: list[str], text: str
     return rows.withColumn("_norm", T.normalise(F.col(text))).join(last, [*keys, "_norm"]).drop("_norm")
 
 
-def align_by_position(a: DataFrame, b: DataFrame, by: list[str], order: list, bucket: Column, cols: list[str]) -> DataFrame:
+def align_by_position(a: DataFrame, b: DataFrame, by: list[str], order: list, cols: list[str]) -> DataFrame:
     """i-th row of one list with the i-th row of the other, up to the shorter."""
-    left = with_position(a, by, order, bucket).select(*by, "pos", *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = with_position(b, by, order, bucket).select(*by, "pos", *[F.col(c).alias(f"b_{c}") for c in cols])
+    left = with_position(a, by, order).select(*by, "pos", *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = with_position(b, by, order).select(*by, "pos", *[F.col(c).alias(f"b_{c}") for c in cols])
     return left.join(right, [*by, "pos"])
 
 
-def align_content(a: DataFrame, b: DataFrame, by: list[str], order: list, bucket: Column, text: str, cols: list[str]) -> DataFrame:
+def align_content(a: DataFrame, b: DataFrame, by: list[str], order: list, text: str, cols: list[str]) -> DataFrame:
     """``align_by_position`` of what is no header: lines that end in a colon are left out of both lists first."""
     plain_a, plain_b = (x.filter(~F.coalesce(T.ends_with_colon(F.col(text)), F.lit(False))) for x in (a, b))
-    return align_by_position(plain_a, plain_b, by, order, bucket, cols)
+    return align_by_position(plain_a, plain_b, by, order, cols)
 
 
 def position_mismatch(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:

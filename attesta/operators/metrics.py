@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.durable import cut
-from .ordered import UP, id_bucket, running_sums, value_bucket, with_position
+from .ordered import UP, running_sums, value_bucket, with_position
 
 ONE = "_one"
 
@@ -157,7 +157,7 @@ def select_top_fraction(df: DataFrame, idc: str, score: str, fraction: float, ke
     if keep_ties:
         return chosen.select(*df.columns)
     whole = chosen.filter("_c <= _left").select(*df.columns)
-    part = with_position(chosen.filter("_c > _left"), [], [idc], id_bucket(F.col(idc)), "_p").filter("_p < _left").select(*df.columns)
+    part = with_position(chosen.filter("_c > _left"), [], [idc], name="_p").filter("_p < _left").select(*df.columns)
     return whole.unionByName(part)
 
 

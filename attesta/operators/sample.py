@@ -84,7 +84,7 @@ def leave_n_out(df: DataFrame, group: str, n: int, seed: str) -> DataFrame:
 def holdout_last(df: DataFrame, sample: str, fraction: float) -> DataFrame:
     """Mark the last max(1, ceil(n * fraction)) samples as the test set."""
     ids = df.select(sample).distinct()
-    placed = with_position(ids, [], [sample], F.floor(F.col(sample) / 65536))
-    n = ids.agg(F.count(F.lit(1)).alias("_n")).select("_n", F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction)).alias("_t"))
+    placed = with_position(ids, [], [sample])
+    n = placed.agg(F.count(F.lit(1)).alias("_n")).select("_n", F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction)).alias("_t"))
     marked = with_scalar(placed, n).select(sample, (F.col("pos") >= F.col("_n") - F.col("_t")).alias("is_test"))
     return df.join(marked, sample)

@@ -30,8 +30,8 @@ def vote_uncertainty(votes: DataFrame, keys: list[str], vote: str, empty_support
         (1 - F.coalesce(F.avg(vote), F.lit(empty_support))).alias("uncertainty"), F.count(vote).alias("n_votes"))
 
 
-def first_notes(votes: DataFrame, by: list[str], order: list[str], bucket: Column, k: int) -> DataFrame:
-    return with_position(votes, by, order, bucket).filter(F.col("pos") < k).drop("pos")
+def first_notes(votes: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    return with_position(votes, by, order).filter(F.col("pos") < k).drop("pos")
 
 
 def self_check(answers: DataFrame, keys: list[str], yes: str) -> DataFrame:
@@ -131,7 +131,7 @@ def centroid_cosine(units: DataFrame, by: str, idc: str, vec: str, weight: Colum
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / na / nb))).alias("cosine"))
 
 
-def context_ratio(tokens: DataFrame, by: list[str], order: list[str], bucket: Column, context: Column, value: Column) -> DataFrame:
+def context_ratio(tokens: DataFrame, by: list[str], order: list[str], context: Column, value: Column) -> DataFrame:
     """context mean / (context mean + new mean) over what precedes each row.
 
     ``value`` should be exact (decimal).  NULL when both means are zero, 1 when
@@ -139,7 +139,7 @@ def context_ratio(tokens: DataFrame, by: list[str], order: list[str], bucket: Co
     """
     sums = running_sums(tokens, by, order, {
         "_cs": F.when(context, value).otherwise(0), "_cn": F.when(context, 1).otherwise(0),
-        "_ns": F.when(~context, value).otherwise(0), "_nn": F.when(~context, 1).otherwise(0)}, bucket)
+        "_ns": F.when(~context, value).otherwise(0), "_nn": F.when(~context, 1).otherwise(0)})
     own = F.when(context, value).otherwise(0)
     new = F.when(~context, value).otherwise(0)
     cn, nn = F.col("_cn") - context.cast("int"), F.col("_nn") - (~context).cast("int")

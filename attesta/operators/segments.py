@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.durable import cut
 from .ordered import carry_last, running_sums, with_position
 
 
 def fill_sections(sents: DataFrame, by: list[str], idx: str, s: str) -> DataFrame:
     """A header sentence names the section of the following sentences."""
-    filled = carry_last(sents, by, [idx], T.table_section(F.col(s)), F.floor(F.col(idx) / 4096), "section")
+    filled = carry_last(sents, by, [idx], T.table_section(F.col(s)), "section")
     return filled.withColumn("section", F.coalesce("section", F.lit("Preamble")))
 
 
-def as_of(rows: DataFrame, by: list[str], order: list[str], value: Column, bucket: Column, name: str,
-          default: str) -> DataFrame:
+def as_of(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, default: str) -> DataFrame:
     """Latest value at or before each row; headers and tokens share one order."""
-    return carry_last(rows, by, order, value, bucket, name).withColumn(name, F.coalesce(name, F.lit(default)))
+    return carry_last(rows, by, order, value, name).withColumn(name, F.coalesce(name, F.lit(default)))
 
 
 def ngram_share(docs: DataFrame, gold: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -83,36 +83,36 @@ def echo_guard(items: DataFrame, notes: DataFrame, key: str, item: str, note: st
     return joined.filter((plain != "") & F.contains(F.col("_note"), plain)).drop("_note")
 
 
-def token_chunks(tokens: DataFrame, by: list[str], order: list, bucket: Column, width: int, flag: str, kind: str,
+def token_chunks(tokens: DataFrame, by: list[str], order: list, width: int, flag: str, kind: str,
                  score: str) -> DataFrame:
     """Fixed chunks of tokens: any flag, kind of the first flagged token, mean."""
-    placed = with_position(tokens, by, order, bucket, "tok").withColumn("chunk", F.floor(F.col("tok") / width))
+    placed = with_position(tokens, by, order, name="tok").withColumn("chunk", F.floor(F.col("tok") / width))
     return placed.groupBy(*by, "chunk").agg(
         F.max(F.col(flag).cast("int")).cast("bigint").alias("label"),
         F.min_by(kind, F.when(F.col(flag), F.col("tok"))).alias("kind"),
         F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n_tokens"))
 
 
-def low_runs(tokens: DataFrame, by: list[str], order: list[str], bucket: Column, value: str, threshold: float,
-             shortest: int) -> DataFrame:
+def low_runs(tokens: DataFrame, by: list[str], order: list[str], value: str, threshold: float, shortest: int) -> DataFrame:
     """Unbroken runs of low relative coverage, at least ``shortest`` long."""
+    tokens = cut(tokens.select(*by, *order, value))  # read for the largest values and for the rows
     top = tokens.groupBy(*by).agg(F.max(value).alias("_top"))
     scaled = tokens.join(top, by).withColumn("coverage", F.col(value) / F.col("_top")).drop("_top")
     # position and number of the run come from one pass along the order
     low = F.col("coverage") < threshold
-    placed = running_sums(scaled, by, order, {"pos": F.lit(1).cast("bigint"), "run": 1 - low.cast("bigint")}, bucket).filter(low)
+    placed = running_sums(scaled, by, order, {"pos": F.lit(1).cast("bigint"), "run": 1 - low.cast("bigint")}).filter(low)
     return placed.groupBy(*by, "run").agg(
         (F.min("pos") - 1).alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n_tokens"),
         F.avg("coverage").alias("mean_coverage")).filter(F.col("n_tokens") >= shortest).drop("run")
 
 
-def span_means(series: DataFrame, spans: DataFrame, by: list[str], value: Column, bucket: Column) -> DataFrame:
+def span_means(series: DataFrame, spans: DataFrame, by: list[str], value: Column) -> DataFrame:
     """Mean of a positioned series over [start, end): two look-ups of prefix sums.
 
     ``series`` holds (by, pos); the spans are clamped to it and empty ones get
     NULL.  No token-by-span pairs are formed.
     """
-    sums = running_sums(series, by, ["pos"], {"acc": value}, bucket).select(*by, "pos", "acc")
+    sums = running_sums(series, by, ["pos"], {"acc": value}).select(*by, "pos", "acc")
     size = series.groupBy(*by).agg((F.max("pos") + 1).alias("_n"))
     cut = spans.join(size, by).withColumn("_a", F.least("start", "_n")).withColumn("_z", F.least("end", "_n"))
     low = sums.select(*by, (F.col("pos") + 1).alias("_a"), F.col("acc").alias("_lo"))

@@ -167,7 +167,7 @@ def two_lists(spark, root):
 @query("align_content_p8", f"""WITH {_LISTS} SELECT doc_id, pos::BIGINT AS pos, (ca.idx - 1)::BIGINT AS a_idx, (cb.idx - 1)::BIGINT AS b_idx, ca.s = cb.s AS same FROM ca JOIN cb USING (doc_id, pos)""")
 def align_content(spark, root):
     a, b = two_lists(spark, root)
-    out = M.align_content(a, b, ["doc_id"], ["idx"], F.floor(C("idx") / 4096), "s", ["idx", "s"])
+    out = M.align_content(a, b, ["doc_id"], ["idx"], "s", ["idx", "s"])
     return out.select("doc_id", "pos", C("a_idx").cast("bigint").alias("a_idx"), C("b_idx").cast("bigint").alias("b_idx"), (C("a_s") == C("b_s")).alias("same"))
 
 

@@ -70,7 +70,7 @@ def span_labels(spark, root):
 s AS (SELECT user_id, 0 AS st, coalesce(a, n) AS en FROM g UNION ALL SELECT user_id, z, n FROM g WHERE a IS NOT NULL)
 SELECT user_id, st::BIGINT AS start_at, en::BIGINT AS end_at FROM s WHERE en > st""")
 def outer_clean_spans(spark, root):
-    pos = with_position(user_events(spark, root, "value"), ["user_id"], ["ts", "event_id"], day_bucket(C("ts")))
+    pos = with_position(user_events(spark, root, "value"), ["user_id"], ["ts", "event_id"])
     units = pos.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     flagged = pos.filter("value > 150").select("user_id", C("pos").alias("start"), (C("pos") + 1).alias("end"))
     return L.outer_clean_spans(units, flagged, ["user_id"], "n").select("user_id", C("start").alias("start_at"), C("end").alias("end_at"))

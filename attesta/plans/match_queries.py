@@ -11,7 +11,6 @@ from ..functions import windows as W
 from ..operators import match as M
 from ..operators import pools as P
 from ..operators import vectors as V
-from ..operators.ordered import day_bucket
 from ..sources.tables import spread, table
 from .registry import query
 from .stand_ins import document_sentences, documents, turn_sentences
@@ -281,8 +280,7 @@ SELECT a.user_id, a.pos::BIGINT AS pos, a.event_id AS a_event_id, b.event_id AS
 WHERE a.event_type = 'click' AND b.event_type = 'view'""")
 def align_by_position(spark, root):
     ev = user_events(spark, root, "event_type")
-    return M.align_by_position(ev.filter("event_type = 'click'"), ev.filter("event_type = 'view'"), ["user_id"], ["ts", "event_id"],
-                               day_bucket(C("ts")), ["event_id"])
+    return M.align_by_position(ev.filter("event_type = 'click'"), ev.filter("event_type = 'view'"), ["user_id"], ["ts", "event_id"], ["event_id"])
 
 
 @query("position_groups_p9", f"""WITH {CLAIMS_SQL}, mx AS (SELECT conv_id, max(idx) AS last FROM sent GROUP BY 1),

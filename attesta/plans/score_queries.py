@@ -39,7 +39,7 @@ SELECT user_id, event_type, round(1 - coalesce(avg(CASE WHEN value >= 5 THEN (va
  count(CASE WHEN value >= 5 THEN 1 END)::BIGINT AS n_votes FROM p WHERE rn <= 9 GROUP BY 1, 2""")
 def vote_uncertainty(spark, root):
     ev = user_events(spark, root, "event_type", "value").withColumn("vote", F.when(C("value") >= 5, (C("value") > 50).cast("int")))
-    scored = U.first_notes(ev, ["user_id", "event_type"], ["ts", "event_id"], day_bucket(C("ts")), 9)
+    scored = U.first_notes(ev, ["user_id", "event_type"], ["ts", "event_id"], 9)
     return U.vote_uncertainty(scored, ["user_id", "event_type"], "vote", 0.5).withColumn("uncertainty", F.round("uncertainty", 6))
 
 
@@ -180,7 +180,7 @@ s AS (SELECT event_id, coalesce(avg(CASE WHEN ctx THEN value END) OVER w, 0) AS
 SELECT event_id, round(CASE WHEN k = 0 THEN 1 ELSE c / nullif(c + n, 0) END, 6)::DOUBLE AS ratio FROM s""")
 def context_ratio(spark, root):
     ev = user_events(spark, root, "event_type", "value")
-    out = U.context_ratio(ev, ["user_id"], ["ts", "event_id"], day_bucket(C("ts")), C("event_type").isin("click", "view"),
+    out = U.context_ratio(ev, ["user_id"], ["ts", "event_id"], C("event_type").isin("click", "view"),
                           C("value").cast("decimal(18,2)"))
     return out.select("event_id", r6("ratio", "ratio"))
 

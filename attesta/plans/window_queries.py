@@ -11,7 +11,7 @@ from ..functions import sql as S
 from ..functions import text as T
 from ..functions import windows as W
 from ..operators import segments as G
-from ..operators.ordered import day_bucket, with_position
+from ..operators.ordered import with_position
 from ..sources.tables import spread, table
 from .registry import query
 from .stand_ins import documents, notes
@@ -65,7 +65,7 @@ def fill_sections(spark, root):
 def as_of_section(spark, root):
     ev = table(spark, root, "events").select("event_id", "user_id", "ts", "event_type")
     head = F.when(C("event_type").isin("signup", "error"), F.concat("event_type", F.lit(":"), "event_id"))
-    return G.as_of(ev, ["user_id"], ["ts", "event_id"], head, day_bucket(C("ts")), "section", "preamble") \
+    return G.as_of(ev, ["user_id"], ["ts", "event_id"], head, "section", "preamble") \
         .select("event_id", "user_id", "section")
 
 
@@ -343,7 +343,7 @@ SELECT user_id, (tok // 8)::BIGINT AS chunk, max((event_type = 'error' OR event_
 FROM p GROUP BY 1, 2""")
 def token_chunks(spark, root):
     ev = user_events(spark, root, "event_type", "value").withColumn("flag", C("event_type").isin("error", "signup"))
-    return G.token_chunks(ev, ["user_id"], ["ts", "event_id"], day_bucket(C("ts")), 8, "flag", "event_type", "value") \
+    return G.token_chunks(ev, ["user_id"], ["ts", "event_id"], 8, "flag", "event_type", "value") \
         .withColumn("mean_score", F.round("mean_score", 6))
 
 
@@ -352,7 +352,7 @@ r AS (SELECT *, sum((cv >= 0.2)::INT) OVER (PARTITION BY user_id ORDER BY pos) A
 SELECT user_id, min(pos)::BIGINT AS start_at, (max(pos) + 1)::BIGINT AS end_at, count(*)::BIGINT AS n_tokens, round(avg(cv), 6) AS mean_coverage
 FROM r WHERE cv < 0.2 GROUP BY user_id, run HAVING count(*) >= 3""")
 def low_runs(spark, root):
-    out = G.low_runs(user_events(spark, root, "value"), ["user_id"], ["ts", "event_id"], day_bucket(C("ts")), "value", 0.2, 3)
+    out = G.low_runs(user_events(spark, root, "value"), ["user_id"], ["ts", "event_id"], "value", 0.2, 3)
     return out.select("user_id", C("start").alias("start_at"), C("end").alias("end_at"), "n_tokens", F.round("mean_coverage", 6).alias("mean_coverage"))
 
 
@@ -383,10 +383,10 @@ sp AS (SELECT user_id, pos AS a, pos + CASE WHEN pos % 21 = 0 THEN 0 ELSE 5 + po
 SELECT sp.user_id, a::BIGINT AS start_at, z::BIGINT AS end_at, round(avg(value), 6) AS mean FROM sp
 LEFT JOIN p ON p.user_id = sp.user_id AND p.pos >= a AND p.pos < z GROUP BY 1, 2, 3""")
 def span_means(spark, root):
-    series = with_position(user_events(spark, root, "value"), ["user_id"], ["ts", "event_id"], day_bucket(C("ts")))
+    series = with_position(user_events(spark, root, "value"), ["user_id"], ["ts", "event_id"])
     width = F.when(C("pos") % 21 == 0, 0).otherwise(5 + C("pos") % 3)
     spans = series.filter(C("pos") % 7 == 0).select("user_id", C("pos").alias("start"), (C("pos") + width).alias("end"))
-    out = G.span_means(series, spans, ["user_id"], C("value").cast("decimal(18,2)"), F.floor(C("pos") / 4096))
+    out = G.span_means(series, spans, ["user_id"], C("value").cast("decimal(18,2)"))
     return out.select("user_id", C("start").alias("start_at"), C("end").alias("end_at"), F.round("mean", 6).alias("mean"))
 
 
