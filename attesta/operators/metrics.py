@@ -58,11 +58,10 @@ def one_against_rest(counts: DataFrame, by: list[str], target: str, score: str,
     The negatives of a target below a score are all rows below it less the
     target's own, so two running sums suffice and no score meets every target.
     """
-    value = F.col(score).cast("double")
-    own = running_sums(counts.select(*by, target, value.alias("_s"), F.col(c).alias("_c")), [*by, target], ["_s"], {"_t": F.col("_c")}, value_bucket(F.col("_s")))
-    every = counts.groupBy(*by, value.alias("_s")).agg(F.sum(c).alias("_e"))
-    every = running_sums(every, by, ["_s"], {"_a": F.col("_e")}, value_bucket(F.col("_s")))
-    total = counts.groupBy(*by).agg(F.sum(c).alias("_n"))
+    counts = cut(counts.select(*by, target, F.col(score).cast("double").alias("_s"), F.col(c).alias("_c")))
+    own = running_sums(counts, [*by, target], ["_s"], {"_t": F.col("_c")})
+    every = running_sums(counts.groupBy(*by, "_s").agg(F.sum("_c").alias("_e")), by, ["_s"], {"_a": F.col("_e")})
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     below = (F.col("_a") - F.col("_e") / 2) - (F.col("_t") - F.col("_c") / 2)
     u = own.join(every, [*by, "_s"]).groupBy(*by, target).agg(F.sum(F.col("_c") * below).alias("_u"), F.sum("_c").alias("_p"))
     rest = F.col("_n") - F.col("_p")
@@ -302,9 +301,9 @@ def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], name:
     Ranks are read off the running counts of the distinct values, so no task
     holds the values of a whole group as an exact percentile aggregate would.
     """
-    hist = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = cut(df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     total = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    up = running_sums(hist, by, ["_v"], {"_up": F.col("_c")}, value_bucket(F.col("_v")))
+    up = running_sums(hist, by, ["_v"], {"_up": F.col("_c")})
     ranked = up.join(total, by) if by else with_scalar(up, total)
 
     def at(rank):
@@ -336,10 +335,10 @@ def rates_by_bin(df: DataFrame, by: list[str], x: str, y: Column, bins: int, lea
     rank does, so the bin of a value follows from the running count of the
     distinct values; neither edges nor rows are joined.
     """
-    hist = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"), F.count(y).alias("_k"), F.sum(y).alias("_y"))
+    hist = cut(df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.count(y).alias("_k"), F.sum(y).alias("_y")))
     total = hist.groupBy(*by).agg(F.sum("_c").alias("_n")).filter(F.col("_n") >= least)
-    up = running_sums(hist, by, ["_v"], {"_up": F.col("_c")}, value_bucket(F.col("_v")))
+    up = running_sums(hist, by, ["_v"], {"_up": F.col("_c")})
     ranked = up.join(total, by) if by else with_scalar(up, total)
     below = sum(((F.ceil((F.col("_n") - 1) * F.lit(i / bins) - 1e-9) < F.col("_up")).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint"))
     return ranked.groupBy(*by, below.alias("bin")).agg((F.sum("_y") / F.sum("_k")).alias("rate"), F.sum("_c").alias("n"))
