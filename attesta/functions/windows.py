@@ -81,37 +81,37 @@ def longest_run(text: Column, query: Column, gap: int = 2) -> Column:
     """struct<start,end,hits> of the longest run of query words in a text.
 
     Up to ``gap`` other words may lie between two hits, but no ; . or :
-    Two hits are needed unless the query has a single content word.
+    Two hits are needed unless the query has a single content word.  The text
+    is cut at those marks and tokenised once; offsets are only worked out where
+    a run is found.
     """
-    plain = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9']+)"), 1)
-    # most texts share no word with the query and need no offsets
     return T.let(F.array_distinct(T.content_words(query)), lambda wanted: F.when(
-        F.arrays_overlap(plain, wanted), _longest_run(text, wanted, gap)))
+        F.size(wanted) > 0, T.let(_best_run(text, wanted, gap), lambda best: F.when(
+            (best["best"] > 0) & (best["best"] >= F.least(F.lit(2), F.size(wanted))), _run_offsets(text, best)))))
 
 
-def _longest_run(text: Column, wanted: Column, gap: int) -> Column:
-    toks = F.transform(T.match_spans(text, "[a-zA-Z0-9']+"), lambda x, i: F.struct(
-        i.alias("i"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["text"]).alias("w")))
-    hits = F.filter(toks, lambda x: F.array_contains(wanted, x["w"]))
-    zero = F.struct(*[F.lit(v).alias(k) for k, v in (
-        ("i", -100), ("start", 0), ("end", 0), ("n", 0), ("best", 0), ("bs", 0), ("be", 0))])
+def _best_run(text: Column, wanted: Column, gap: int) -> Column:
+    """The longest run by the places of its first and last word; the first of equal ones."""
+    words = F.flatten(F.transform(F.split(text, "[;.:]"), lambda piece, k: F.transform(
+        F.regexp_extract_all(piece, F.lit("([a-zA-Z0-9']+)"), 1), lambda w: F.struct(F.lower(w).alias("w"), k.alias("k")))))
+    hits = F.filter(F.transform(words, lambda x, i: F.when(
+        F.array_contains(wanted, x["w"]), F.struct(i.alias("i"), x["k"].alias("k")))), lambda x: x.isNotNull())
+    zero = F.struct(*[F.lit(v).alias(n) for n, v in (("i", -100), ("k", -1), ("first", 0), ("n", 0), ("best", 0), ("bf", 0), ("bl", 0))])
 
     def step(acc, x):
-        near = (x["i"] - acc["i"] <= gap + 1) & ~F.substring(
-            text, acc["end"] + 1, F.greatest(x["start"] - acc["end"], F.lit(0))).rlike("[;.:]")
-        start = F.when(near, acc["start"]).otherwise(x["start"])
+        near = (x["i"] - acc["i"] <= gap + 1) & (x["k"] == acc["k"])
+        first = F.when(near, acc["first"]).otherwise(x["i"])
         n = F.when(near, acc["n"]).otherwise(0) + 1
         longer = n > acc["best"]
-        return F.struct(
-            x["i"].alias("i"), start.alias("start"), x["end"].alias("end"), n.alias("n"),
-            F.greatest(n, acc["best"]).alias("best"),
-            F.when(longer, start).otherwise(acc["bs"]).alias("bs"),
-            F.when(longer, x["end"]).otherwise(acc["be"]).alias("be"))
-
-    need = F.least(F.lit(2), F.size(wanted))
-    return T.let(F.aggregate(hits, zero, step), lambda best: F.when(
-        (best["best"] > 0) & (best["best"] >= need), F.struct(
-            best["bs"].alias("start"), best["be"].alias("end"), best["best"].alias("hits"))))
+        return F.struct(x["i"].alias("i"), x["k"].alias("k"), first.alias("first"), n.alias("n"), F.greatest(n, acc["best"]).alias("best"),
+                        F.when(longer, first).otherwise(acc["bf"]).alias("bf"), F.when(longer, x["i"]).otherwise(acc["bl"]).alias("bl"))
+
+    return F.aggregate(hits, zero, step)
+
+
+def _run_offsets(text: Column, best: Column) -> Column:
+    return T.let(T.match_spans(text, "[a-zA-Z0-9']+"), lambda at: F.struct(
+        F.get(at, best["bf"])["start"].alias("start"), F.get(at, best["bl"])["end"].alias("end"), best["best"].alias("hits")))
 
 
 def place_sentences(note: Column, sents: Column) -> Column:
