@@ -9,12 +9,13 @@ from ..functions import stem as M
 from ..functions import text as T
 from ..operators import dedupe as D
 from ..operators import score as U
+from ..operators import vector_lists as VL
 from ..operators import vectors as V
 from ..operators.ordered import day_bucket
 from ..sources.tables import spread, table
 from .match_queries import NEAR_SQL, nearest
 from .registry import query
-from .stand_ins import documents
+from .stand_ins import DOCUMENT_VECTORS_SQL, document_vectors, documents
 from .window_queries import big, user_events
 
 C = F.col
@@ -292,6 +293,48 @@ def dedupe_greedy(spark, root):
     return D.greedy_keep(vec.select("vec_id"), pairs.select(C("q_id").alias("before"), C("c_id").alias("after")), "vec_id")
 
 
+@query("similar_documents_p13", f"WITH {DOCUMENT_VECTORS_SQL} SELECT lang, a AS q_id, b AS c_id, round(cos, 6) AS cos FROM dc WHERE cos >= 0.92")
+def similar_documents(spark, root):
+    """Pairs of texts of one language whose vectors reach 0.92, by pruned lists."""
+    pairs = VL.similar_pairs(document_vectors(spark, root), "lang", "doc_id", "v", 0.92)
+    return pairs.select("lang", "q_id", "c_id", F.round("cos", 6).alias("cos"))
+
+
+@query("nearest_documents_p13", f"""WITH {DOCUMENT_VECTORS_SQL}, bo AS (SELECT lang, a AS q, b AS c, cos FROM dc UNION ALL SELECT lang, b, a, cos FROM dc)
+SELECT lang, q AS q_id, c AS c_id, round(cos, 6) AS cos, row_number() OVER (PARTITION BY q ORDER BY cos DESC, c)::BIGINT AS rank FROM bo
+WHERE q % 4 = 0 AND c % 4 <> 0 QUALIFY rank <= 3""")
+def nearest_documents(spark, root):
+    """The three nearest of the other texts of its language for every fourth text."""
+    vectors = document_vectors(spark, root)
+    near = VL.top_k_cosine(vectors.filter("doc_id % 4 = 0"), vectors.filter("doc_id % 4 <> 0"), "lang", "doc_id", "doc_id", "v", 3)
+    return near.withColumn("cos", F.round("cos", 6))
+
+
+@query("dedupe_documents_d3", f"""WITH RECURSIVE {DOCUMENT_VECTORS_SQL}, ed AS (SELECT a, b FROM dc WHERE cos >= 0.92),
+o AS (SELECT doc_id, coalesce((SELECT list(a) FROM ed WHERE b = doc_id), []) AS prev, row_number() OVER (ORDER BY doc_id) AS rn FROM dn),
+w AS (SELECT 1 AS rn, [doc_id] AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.rn, CASE WHEN list_has_any(kept, prev) THEN kept ELSE list_append(kept, doc_id) END FROM w JOIN o ON o.rn = w.rn + 1)
+SELECT unnest(kept) AS doc_id FROM w WHERE rn = (SELECT count(*) FROM dn)""")
+def dedupe_documents(spark, root):
+    """First-come pass over the texts of a language at 0.92."""
+    vectors = document_vectors(spark, root)
+    pairs = VL.similar_pairs(vectors, "lang", "doc_id", "v", 0.92)
+    return D.greedy_keep(vectors.select("doc_id"), pairs.select(C("q_id").alias("before"), C("c_id").alias("after")), "doc_id")
+
+
+@query("document_entropy_u9", f"""WITH RECURSIVE {DOCUMENT_VECTORS_SQL}, ed AS (SELECT a, b FROM dc WHERE cos >= 0.9), {CLOSURE_SQL},
+m AS (SELECT lang, doc_id % 10 AS gen, coalesce(component, doc_id) AS component FROM dn LEFT JOIN mn ON id = doc_id),
+pc AS (SELECT lang, component, count(DISTINCT gen) / 10 AS p FROM m GROUP BY 1, 2), hv AS (SELECT lang, 10 - count(DISTINCT gen) AS absent FROM m GROUP BY 1)
+SELECT lang, (count(*) + any_value(absent))::BIGINT AS n_clusters,
+ round((sum({_BE.format(p='p')}) + any_value(absent) * ({_BE.format(p='0.1::DOUBLE')})) / (count(*) + any_value(absent)), 6) AS entropy FROM pc JOIN hv USING (lang) GROUP BY 1""")
+def document_entropy(spark, root):
+    """Entropy of the presence of clusters at 0.90 in ten generations, by language."""
+    vectors = document_vectors(spark, root)
+    pairs = VL.similar_pairs(vectors, "lang", "doc_id", "v", 0.9)
+    comp = D.all_components(vectors, pairs, "doc_id", "q_id", "c_id")
+    claims = vectors.select("doc_id", "lang", (C("doc_id") % 10).alias("gen"))
+    return U.semantic_entropy(claims, comp, [], "lang", "gen", "doc_id", 10).withColumn("entropy", F.round("entropy", 6))
+
+
 def _spans():
     """Overlapping spans laid over each text, with a score."""
     return F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 60).cast("int")), lambda k: F.struct(

@@ -41,3 +41,27 @@ def turn_sentences(spark: SparkSession, root: str) -> DataFrame:
     return spread(table(spark, root, "conversations")).select(
         "conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("idx", "s")
     ).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+def document_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, lang, v array<double>): signed counts of the three-word shingles of each text, dealt to 64 places by md5.
+
+    Near copies get nearby vectors, unrelated texts do not.
+    """
+    digest = F.explode(F.transform(T.ngrams_at(T.words(F.lower("text")), 3), F.md5)).alias("h")
+    rows = documents(spark, root, "lang").select("doc_id", "lang", digest)
+    place = F.conv(F.left("h", F.lit(2)), 16, 10).cast("int") % 64
+    sign = F.when(F.substring("h", 3, 1) < "8", 1).otherwise(-1)
+    sums = rows.groupBy("doc_id", "lang", place.alias("i")).agg(F.sum(sign).cast("double").alias("s"))
+    held = sums.groupBy("doc_id", "lang").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("m"))
+    return held.select("doc_id", "lang", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v")) \
+        .filter(F.exists("v", lambda x: x != 0))
+
+
+DOCUMENT_VECTORS_SQL = """dw AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
+dg AS (SELECT doc_id, lang, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT doc_id, lang, w, unnest(range(1, len(w) - 1)) AS i FROM dw)),
+ds AS (SELECT doc_id, lang, ('0x' || h[1:2])::INT % 64 AS i, sum(CASE WHEN h[3:3] < '8' THEN 1 ELSE -1 END)::DOUBLE AS s FROM dg GROUP BY ALL),
+dk AS (SELECT doc_id, lang, k AS i FROM (SELECT DISTINCT doc_id, lang FROM ds), range(64) r(k)),
+dv AS (SELECT doc_id, lang, list(coalesce(s, 0) ORDER BY i) AS v FROM dk LEFT JOIN ds USING (doc_id, lang, i) GROUP BY ALL HAVING bool_or(coalesce(s, 0) <> 0)),
+dn AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM dv),
+dc AS (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, round(list_dot_product(a.v, b.v) / a.n / b.n, 9) AS cos FROM dn a JOIN dn b ON a.lang = b.lang AND a.doc_id < b.doc_id)"""
