@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import io as IO
+from ..sources.durable import shared_folder
 from ..sources.tables import table
 from .registry import query
 from .stand_ins import documents
@@ -88,3 +91,18 @@ def scope(spark, root):
 @query("cap_notes_s10", "SELECT conv_id, turn FROM conversations ORDER BY conv_id, turn LIMIT 25")
 def cap_notes(spark, root):
     return IO.cap_notes(table(spark, root, "conversations").select("conv_id", "turn"), ["conv_id", "turn"], 25)
+
+
+@query("note_round_trip_s9", """SELECT lang AS config, 'test' || (doc_id % 3) AS split, (doc_id % 8)::INT AS sample_idx, ((doc_id // 8) % 5)::INT AS note_idx,
+ doc_id::INT AS sentence_idx, md5(text) AS sentence, (n_chars % 100) / 100.0::DOUBLE AS uncertainty FROM documents""")
+def note_round_trip(spark, root):
+    """Notes written in part, listed, the pending ones and some again written, and all read."""
+    folder = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    doc = C("doc_id")
+    rows = table(spark, root, "documents").select(
+        C("lang").alias("config"), F.concat(F.lit("test"), (doc % 3).cast("string")).alias("split"), (doc % 8).cast("int").alias("sample_idx"),
+        F.floor(doc / 8 % 5).cast("int").alias("note_idx"), doc.cast("int").alias("sentence_idx"), F.md5("text").alias("sentence"), (C("n_chars") % 100 / 100.0).alias("uncertainty"))
+    IO.write_notes(rows.filter("sample_idx < 5"), folder, "sentences")
+    missing = rows.join(IO.written_notes(spark, folder), ["config", "split", "sample_idx", "note_idx"], "left_anti")
+    IO.write_notes(missing.unionByName(rows.filter("sample_idx = 2")), folder, "sentences")
+    return IO.read_notes(spark, folder, IO.SENTENCE_SCORE).select("config", "split", "sample_idx", "note_idx", "sentence_idx", "sentence", "uncertainty")

@@ -144,6 +144,48 @@ def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).partitionBy("config", "split").parquet(path)
 
 
+def existing(spark: SparkSession, folders: list[str]) -> list[str]:
+    """Those of the folders (or globs) that are there, by the file system they name."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        hits = path.getFileSystem(conf).globStatus(path)
+        if hits is not None and len(hits):
+            found.append(folder)
+    return found
+
+
+def write_notes(df: DataFrame, folder: str, kind: str, sample: str = "sample_idx", note: str = "note_idx") -> None:
+    """Rows of notes by config, split and note, the note's name as ``sample_003_note_02_<kind>``.
+
+    Writing again replaces the notes at hand and leaves all others, so that a
+    repeated or resumed run ends in the same files.
+    """
+    name = F.concat(F.lit("sample_"), F.lpad(F.col(sample).cast("string"), 3, "0"), F.lit("_note_"), F.lpad(F.col(note).cast("string"), 2, "0"), F.lit(f"_{kind}"))
+    df.withColumn("file", name).drop(sample, note).repartition("config", "split", "file").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").option("header", True).option("escape", '"').partitionBy("config", "split", "file").csv(folder)
+
+
+def written_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """(config, split, sample_idx, note_idx) of the notes that are there, from file names alone; none where the folder is missing."""
+    if not existing(spark, [f"{folder}/config=*"]):
+        return spark.createDataFrame([], "config string, split string, sample_idx int, note_idx int")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path")
+    named = file_keys(files, F.col("path")).select(F.regexp_extract("path", "/config=([^/]*)/", 1).alias("config"),
+                                                   F.regexp_extract("path", "/split=([^/]*)/", 1).alias("split"), "sample_idx", "note_idx")
+    return named.distinct()
+
+
+def read_notes(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All rows of all notes of a folder of ``write_notes``, with config, split, sample and note; no rows where it is missing."""
+    columns = f"{schema}, config string, split string, file string"
+    if not existing(spark, [f"{folder}/config=*"]):
+        return file_keys(spark.createDataFrame([], columns), F.col("file")).drop("file")
+    rows = spark.read.schema(columns).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(folder)
+    return file_keys(rows, F.col("file")).drop("file")
+
+
 def scope(df: DataFrame, sample: str, note: str, start: int, end: int, k: int) -> DataFrame:
     """Samples in [start, end) and their first k notes."""
     return df.filter(F.col(sample).between(start, end - 1) & (F.col(note) < k))

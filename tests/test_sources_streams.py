@@ -108,3 +108,17 @@ def test_running_auroc_is_exact(spark, tmp_path):
     got = auroc(S.state(spark, ["layer", "score"], out), ["layer"])
     want = auroc(histogram(rows, ["layer"], "y", "x"), ["layer"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+
+
+def test_notes_are_written_once_listed_and_resumed(spark, tmp_path):
+    folder = str(tmp_path / "notes")
+    assert IO.written_notes(spark, folder).collect() == [] and IO.read_notes(spark, folder, IO.SENTENCE_SCORE).collect() == []
+    rows = spark.createDataFrame([("c", "t", s, n, i, f'say "{i}",\nthen', i / 4) for s in range(3) for n in range(2) for i in range(2)],
+                                 "config string, split string, sample_idx int, note_idx int, sentence_idx int, sentence string, uncertainty double")
+    IO.write_notes(rows.filter("sample_idx < 2"), folder, "sentences")
+    done = IO.written_notes(spark, folder)
+    assert {(r["sample_idx"], r["note_idx"]) for r in done.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    IO.write_notes(rows.join(done, ["config", "split", "sample_idx", "note_idx"], "left_anti").unionByName(rows.filter("sample_idx = 0")), folder, "sentences")
+    back = IO.read_notes(spark, folder, IO.SENTENCE_SCORE).select(rows.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert IO.existing(spark, [folder, folder + "-none"]) == [folder]
