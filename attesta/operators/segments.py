@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.durable import cut
+from .metrics import with_scalar
 from .ordered import carry_last, running_sums, with_position
 
 
@@ -21,25 +22,47 @@ def as_of(rows: DataFrame, by: list[str], order: list[str], value: Column, name:
     return carry_last(rows, by, order, value, name).withColumn(name, F.coalesce(name, F.lit(default)))
 
 
+MOST_BITS = 1 << 27
+
+
+def gram_filter(known: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """One row with ``bits``, a bitmap of the hashes of (gram), and its size: 16 bits a gram or more, 16 MB at most."""
+    rows, size = known.count(), 1 << 12
+    while size < min(16 * rows, most_bits):
+        size *= 2
+    at = F.pmod(F.xxhash64("gram"), F.lit(size))
+    words = known.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
+    dense = known.sparkSession.range(size // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))), lambda x: x["b"]).alias("bits")), size
+
+
+def may_be_known(gram: Column, bits: Column, size: int) -> Column:
+    return T.let(F.pmod(F.xxhash64(gram), F.lit(size)), lambda h: F.getbit(F.get(bits, (h / 64).cast("int")), (h % 64).cast("int")) == 1)
+
+
 def ngram_share(docs: DataFrame, gold: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Share of distinct word n-grams of each text found in any gold text.
 
-    The gold n-grams are distinct, so the join adds no rows, however frequent
-    an n-gram is.
+    A text's n-grams are counted in its row.  Only those that a bitmap of the
+    gold n-grams lets pass are shuffled, and met by their words; the gold
+    n-grams are distinct, so the join adds no rows, however frequent one is.
     """
-    known = gold.select(F.explode(T.ngrams(T.words(F.lower(F.col("text"))), n)).alias("gram")).distinct() \
-        .withColumn("known", F.lit(1))
-    grams = docs.select(key, F.explode_outer(T.ngrams(T.words(F.lower(F.col(text))), n)).alias("gram"))
-    return grams.join(known, "gram", "left").groupBy(key).agg(
-        F.count("gram").alias("n_grams"), F.count("known").alias("n_found")) \
-        .withColumn("share", F.coalesce(F.try_divide(F.col("n_found"), F.col("n_grams")), F.lit(0.0)))
+    known = cut(gold.select(F.explode(T.ngrams(T.words(F.lower(F.col("text"))), n)).alias("gram")).distinct())
+    bits, size = gram_filter(known)
+    own = with_scalar(docs.select(key, T.ngrams(T.words(F.lower(F.col(text))), n).alias("_g")), bits)
+    hits = own.select(key, F.coalesce(F.size("_g"), F.lit(0)).alias("_n"), F.posexplode_outer(F.filter("_g", lambda g: may_be_known(g, F.col("bits"), size))).alias("_i", "gram"))
+    met = hits.join(known.withColumn("known", F.lit(1)), "gram", "left").groupBy(key).agg(
+        F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.greatest("_n", F.lit(0)))).cast("bigint").alias("n_grams"), F.count("known").alias("n_found"))
+    return met.withColumn("share", F.coalesce(F.try_divide(F.col("n_found"), F.col("n_grams")), F.lit(0.0)))
 
 
 def uncovered_tokens(docs: DataFrame, gold: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """Words of each text covered by no n-gram of the gold texts."""
-    known = gold.select(F.explode(T.ngrams(T.words(F.lower(F.col("text"))), n)).alias("gram")).distinct()
+    """Words of each text covered by no n-gram of the gold texts; only n-grams that their bitmap lets pass are shuffled."""
+    known = cut(gold.select(F.explode(T.ngrams(T.words(F.lower(F.col("text"))), n)).alias("gram")).distinct())
+    bits, size = gram_filter(known)
     toks = docs.select(key, T.words(F.lower(F.col(text))).alias("w"))
-    at = toks.select(key, F.posexplode(T.ngrams_at(F.col("w"), n)).alias("i", "gram"))
+    grams = F.transform(T.ngrams_at(F.col("w"), n), lambda g, i: F.struct(i.alias("i"), g.alias("gram")))
+    at = with_scalar(toks, bits).select(key, F.inline(F.filter(grams, lambda x: may_be_known(x["gram"], F.col("bits"), size))))
     covered = at.join(known, "gram", "left_semi") \
         .select(key, F.explode(F.array(*[F.col("i") + k for k in range(n)])).alias("tok")) \
         .distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_covered"))
