@@ -9,11 +9,16 @@
    side, so that a hot group of copies meets the rest as one row.
 3. Equal bands make candidates.  Every bucket first links its members to its
    smallest id only; the candidates are verified on the full sets.
-4. Where a bucket still holds several components, its members also meet by an
+4. Where a bucket still holds several components, a member picked by hash stands
+   for it: the members of other components are compared with it, and components
+   that a link joins are merged.  A round melts a large family down to few
+   components and makes at most one pair per member and bucket; ``TURNS`` of
+   them are run, more would add small stages.
+5. Members of buckets that are still mixed also meet by an
    exact filter: with every set in order of rarity, two sets can only be similar
    enough if what follows their first common shingle is long enough in both.  No
    pair inside a component is made: it could not change the grouping.
-5. Verified links are grouped: union-find inside each task leaves a forest,
+6. Verified links are grouped: union-find inside each task leaves a forest,
    alternating stars join the forests.
 """
 
@@ -26,9 +31,11 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import components
 from ..sources.durable import cut
-from .words import LOWER, mix, shingles, small_batches, text_bytes, word_hashes, word_spans
+from .words import LOWER, mix, shingles, small_batches, span_codes, text_bytes, word_spans
 
 GOLD = 0x9E3779B97F4A7C15
+TURNS = 1
+KEY = "_id_and_digest"
 
 
 def superminhash(row: np.ndarray, element: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
@@ -75,19 +82,25 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def set_sums(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """Sum modulo 2**64 of the mixed elements of every row; rows are sorted."""
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(1)), dtype=np.uint64)])
+    ends = np.cumsum(np.bincount(row, minlength=n_rows))
+    return run[ends] - run[np.concatenate([[0], ends[:-1]])] if n_rows else run[:0]
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(_id, n_shingles, f1, f2, bands): set size, 128-bit set fingerprint, band keys."""
+    """(_id, n_shingles, f1, f2, bands): set size, set fingerprints from two hashes of the words, band keys."""
     def run(batches):
         for batch in small_batches(batches, "_text"):
             data, offsets = text_bytes(batch.column(1))
             data = LOWER[data]
             starts, ends, row = word_spans(data, offsets)
             n = batch.num_rows
-            row, value = shingles(word_hashes(data, starts, ends), row, n, size)
+            second = shingles(span_codes(data, starts, ends, 1), row, n, size)
+            row, value = shingles(span_codes(data, starts, ends), row, n, size)
             count = np.bincount(row, minlength=n)
-            f1, f2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            np.add.at(f1, row, mix(value + np.uint64(1)))
-            np.add.at(f2, row, mix(value * np.uint64(5) + np.uint64(2)))
+            f1, f2 = set_sums(row, value, n), set_sums(*second, n)
             keys = band_keys(superminhash(row, value, n, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
@@ -119,7 +132,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             data = LOWER[data]
             starts, ends, row = word_spans(data, offsets)
-            row, value = shingles(word_hashes(data, starts, ends), row, batch.num_rows, size)
+            row, value = shingles(span_codes(data, starts, ends), row, batch.num_rows, size)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
             odd = parity_map(row, value, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
@@ -187,6 +200,26 @@ def local_forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def mixed_buckets(placed: DataFrame) -> DataFrame:
+    """(key) of the buckets that hold several components."""
+    return placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+
+
+def picked_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in every bucket of several components, one member picked by hash and each member of another component."""
+    picked = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn)))
+    buckets = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), picked.alias("p")).filter("lo < hi")
+    return placed.join(buckets, "key").filter(F.col("comp") != F.col("p.comp")) \
+        .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, comp) after the components that the (a, b) links join are one."""
+    a, b = (comps.select(F.col("rep").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
+    joined = components(links.join(a, "a").join(b, "b"), "ca", "cb")
+    return comps.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
                 bands: int = 30, rows: int = 4) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``docs``.
@@ -197,7 +230,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingle, a NULL text or one without words is linked with nothing.  The
     smallest id of a component stays; where rows repeat an id, the smallest text
     decides its links.  30 bands of 4 miss a pair of similarity
-    0.8 with probability 1e-7, one of 0.85 with 2e-10.  A NULL id is its own.  Other columns are not read.
+    0.8 with probability 1e-7, one of 0.85 with 2e-10.  A NULL id is its own.
+    Very long texts are read whole, ties have no meaning, an empty table gives
+    an empty one.  Other columns are not read.
     """
     wide = cut(sketch(docs, id_col, text_col, size, bands, rows))
     same = ["n_shingles", "f1", "f2"]
@@ -215,12 +250,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     near = reps.join(asked.withColumnRenamed("_id", "rep"), "rep", "left_semi").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     placed = cut(near.select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("bands").alias("key")))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    crowd = cut(placed.join(mixed, "key", "left_semi").select("rep", "comp").distinct())
+    # components only merge, so a bucket of one stays one and is done with
+    live = cut(placed.join(mixed_buckets(placed), "key", "left_semi"))
+    comps = live.select("rep", "comp").distinct()
+    for turn in range(TURNS):
+        more = cut(verified(picked_pairs(live, turn), sets, percent))
+        if more.isEmpty():
+            break
+        comps = cut(merged(comps, more))
+        live = live.select("rep", "key").join(comps, "rep")
+        live = cut(live.join(mixed_buckets(live), "key", "left_semi"))
+    crowd = cut(live.select("rep", "comp").distinct())
     rest = possible_pairs(crowd, sets, percent).join(stars, ["a", "b"], "left_anti")
     more = cut(verified(rest, sets, percent))
-    if not more.isEmpty():
-        found = components(links.unionByName(more), "a", "b")
+    comps = merged(comps, more) if not more.isEmpty() else comps
+    # a merge moves whole components, also their members outside the mixed buckets
+    before = placed.select("rep", "comp").distinct()
+    moved = before.join(comps.withColumnRenamed("comp", "now"), "rep").groupBy("comp").agg(F.min("now").alias("now"))
+    found = before.join(moved, "comp", "left").select(F.col("rep").alias("id"), F.coalesce("now", "comp").alias("component"))
     return wide.select("_id", *same).join(reps.select(*same, "rep"), same, "left") \
         .join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
             F.col("_id").alias(id_col), "n_shingles",
@@ -229,6 +276,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component; rows without id stay."""
-    gone = near_groups(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each near-duplicate component; rows without id stay.
+
+    Where ids repeat, rows are told apart by id and digest of the text instead,
+    so that an id with two texts does not lose the one that has no near copy.
+    """
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col(id_col).isNotNull() & (F.col("n") > 1)).isEmpty():
+        gone = near_groups(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    keyed = docs.withColumn(KEY, F.when(F.col(id_col).isNotNull(), F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(
+        F.col(text_col).cast("string"), F.lit("")), 256))))
+    gone = near_groups(keyed, KEY, text_col, **options).filter(~F.col("kept")).select(F.col(KEY).alias("_gone")).distinct()
+    return keyed.join(gone, keyed[KEY] == gone["_gone"], "left_anti").drop(KEY)

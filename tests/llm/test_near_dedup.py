@@ -110,3 +110,42 @@ def test_repeats_nulls_and_empty_table(docs):
     assert near_groups(docs([])).count() == 0
     kept = drop_near_copies(docs([(5, t), (None, t), (7, t), (9, None)]))
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 9] and "_id" in kept.columns
+    own = " ".join(f"o{i}" for i in range(30))
+    kept = drop_near_copies(docs([(5, t), (5, own), (3, t + " more"), (9, None)]))
+    assert len({r["text"] for r in kept.collect()}) == 3 and own in {r["text"] for r in kept.collect()}
+
+
+def test_words_that_share_a_polynomial_hash_are_not_linked(docs):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 whatever the constants."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = near_groups(docs([(1, word), (2, other), (3, f"{word} {other} x"), (4, f"{other} {word} x")])).collect()
+    assert all(r["kept"] for r in got)
+
+
+def test_a_family_melts_into_few_components_before_all_pairs(spark, docs, monkeypatch):
+    """Members that each differ from a missing base: what the rounds leave for the exact filter grows less than their square."""
+    from attesta.llm import near_dedup
+    seen = []
+    plain = near_dedup.possible_pairs
+
+    def counted(crowd, sets, percent):
+        out = plain(crowd, sets, percent)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "possible_pairs", counted)
+    for n in (60, 240):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(140)]
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for at in rng.sample(range(140), rng.randint(1, 5)):
+                w[at] = f"x{i}y{at}"
+            rows.append((i, " ".join(w)))
+        got = [tuple(r) for r in near_groups(docs(rows), size=3, percent=85).collect()]
+        assert sorted(got) == brute(rows, 3, 85)
+    assert seen[1] <= 8 * max(seen[0], 50)
