@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..sources.durable import cut
 
 BITS = 48
+DIGEST = "_digest_of_the_text"
 
 
 def rice_encode(values: np.ndarray, k: int) -> bytes:
@@ -130,6 +131,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each text: the one that ``exact_groups`` keeps.
+
+    Rows are told apart by id and digest, so an id that carries two texts loses
+    neither unless it is a copy, copies without id go, and of rows that repeat
+    both one stays.  An empty table stays empty.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    marked = docs.withColumn(DIGEST, digest)
+    groups = cut(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_i"), F.col("text_sha256").alias("_t"), "kept", "group_size"))
+
+    def same(rows):
+        return marked[id_col].eqNullSafe(rows["_i"]) & (marked[DIGEST] == rows["_t"])
+
+    gone = groups.filter(~F.col("kept")).select("_i", "_t").distinct()
+    left = marked.join(gone, same(gone), "left_anti")
+    again = groups.filter("kept and group_size > 1").groupBy("_i", "_t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.isEmpty():
+        once = left.join(again, same(again), "left_semi").dropDuplicates([id_col, DIGEST])
+        left = left.join(again, same(again), "left_anti").unionByName(once)
+    return left.drop(DIGEST)

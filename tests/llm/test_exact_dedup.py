@@ -50,4 +50,11 @@ def test_drop_copies_keeps_columns(docs):
     df = docs(ROWS)
     kept = drop_copies(df)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [2, 3, 5, 7, 8, 9, 10, 10, 149]
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [2, 3, 5, 7, 8, 9, 10, 149]  # 10 is there twice, once stays
+    assert [r["text"] for r in kept.filter("doc_id is null").collect()] == ["lost"]
+
+
+def test_an_id_with_two_texts_loses_only_the_copy(docs):
+    kept = drop_copies(docs([(1, "a copy"), (1, "a text of its own"), (2, "a copy"), (None, "x"), (None, "x")]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == [(1, "a text of its own"), (2, "a copy"), (None, "x")]
+    assert drop_copies(docs([])).count() == 0
