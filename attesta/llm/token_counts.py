@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import small_batches
+
 #: A space that always starts a piece: exactly one, between two characters that aren't white space.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+BATCH_BYTES = 4 << 20
 _loaded: dict = {}
 
 
@@ -50,7 +53,7 @@ def balanced(pieces: list[tuple[int, str]], most_bytes: int):
     run, size = [], 0
     for row, piece in pieces:
         run.append((row, piece))
-        size += len(piece)
+        size += len(piece.encode())
         if size >= most_bytes:
             yield run
             run, size = [], 0
@@ -73,10 +76,12 @@ def count_tokens(docs: DataFrame, path: Column | str, id_col: str = "doc_id", te
     """(id, n_bytes, n_tokens, over_limit), one row per row of ``docs``.
 
     NULL and empty texts have no tokens.  Rows repeat as they do in ``docs``, a
-    NULL id stays NULL, other columns are not read.
+    NULL id stays NULL, an empty table gives an empty one, other columns are not
+    read.  Very long texts are split at safe boundaries only, so that their
+    tokens stay the same.
     """
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "_text", BATCH_BYTES):
             counts = lengths(batch.column(2).to_pylist(), path, most_chars, most_bytes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())],
                                              names=[id_col, "n_bytes", "n_tokens"])
