@@ -222,7 +222,7 @@ def apply_rules(note: Column, rules: list[tuple[str, str, str]], most: int) -> C
     """Pattern edits; a fixed sentence is appended when none applies."""
     zero = F.struct(note.alias("text"), F.array().cast(
         "array<struct<start:int,end:int,original:string,replacement:string,category:string>>").alias("spans"))
-    listed = F.array(*[F.struct(F.lit(f"(?i)\\b{p}\\b").alias("p"), F.lit(r).alias("r"), F.lit(c).alias("c"))
+    listed = F.array(*[F.struct(F.lit(T.ascii_edges(f"(?i)\\b{p}\\b")).alias("p"), F.lit(r).alias("r"), F.lit(c).alias("c"))
                        for p, r, c in rules])
 
     def step(acc, e):
