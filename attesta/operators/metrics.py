@@ -295,6 +295,17 @@ def threshold_metrics(df: DataFrame, by: list[str], y: str, p: str, t: float = 0
                     ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "brier")
 
 
+def with_groups(df: DataFrame, groups: DataFrame, by: list[str], most: int = 100_000) -> DataFrame:
+    """Rows joined with the one row of their group.
+
+    Up to ``most`` groups are counted and sent to every task: a join by few keys
+    would deal all rows out to as few tasks, which sort them.
+    """
+    held = cut(groups)
+    few = held.limit(most + 1).count() <= most
+    return df.join(F.broadcast(held) if few else held, by)
+
+
 def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], name: str = "q") -> DataFrame:
     """(by, q array, n): linearly interpolated quantiles, exact at any size.
 
@@ -324,7 +335,7 @@ def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], name:
 def quantile_bins(df: DataFrame, by: list[str], x: str, bins: int) -> DataFrame:
     """Add the number of exact quantile edges at or below each value."""
     edges = exact_quantiles(df, by, x, [i / bins for i in range(1, bins)], "_edges").withColumnRenamed("n", "_n")
-    both = df.join(edges, by) if by else with_scalar(df, edges)
+    both = with_groups(df, edges, by) if by else with_scalar(df, edges)
     return both.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(x))).cast("bigint")).drop("_edges")
 
 

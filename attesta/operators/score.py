@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from .metrics import exact_quantiles
+from .metrics import exact_quantiles, with_groups
 from .ordered import running_sums, with_position
 
 
@@ -160,7 +160,7 @@ def quadrants(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     hi_a, hi_b = F.col(a) >= F.col("_ma"), F.col(b) >= F.col("_mb")
     name = (F.when(hi_a & ~hi_b, "extractive").when(~hi_a & hi_b, "parametric").when(hi_a & hi_b, "synthesized")
             .otherwise("hallucinatory"))
-    return df.join(med, by).withColumn("quadrant", name).drop("_ma", "_mb")
+    return with_groups(df, med, by).withColumn("quadrant", name).drop("_ma", "_mb")
 
 
 def absent_values(claims: DataFrame, sample: str, gen: str, kind: str, value: str, kinds: list[str]) -> DataFrame:

@@ -261,3 +261,12 @@ def test_value_buckets_follow_the_order_and_spread_near_one(spark):
     values = sorted({-v for v in values} | set(values))
     got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(value_bucket(F.col("v")).alias("b")).collect()]
     assert got == sorted(got) and len(set(got)) > 100
+
+
+def test_quadrants_of_few_groups_are_not_dealt_out_by_group(spark):
+    from attesta.operators import metrics, score
+    rows = spark.range(4000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    got = score.quadrants(rows, ["g"], "a", "b")
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and got.count() == 4000
+    many = metrics.with_groups(rows, rows.groupBy("g").agg(F.max("a").alias("m")), ["g"], most=1)
+    assert many.count() == 4000 and many.filter("m = 6").count() == 4000
