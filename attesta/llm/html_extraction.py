@@ -42,7 +42,7 @@ def vectors(page: list[tuple]) -> np.ndarray:
     out = np.zeros((len(page), WIDTH), np.float32)
     for i, (path, text, linked) in enumerate(page):
         out[i, list(path_slots(path))] = 1
-        words = text.lower().split(None, 12)[:12]
+        words = text.lower().split()
         for w in words:
             out[i, word_slot(w)] += 1 / len(words)
         n = len(text)

@@ -115,3 +115,9 @@ def test_omitted_head_end_keeps_the_article():
 def test_a_block_that_begins_with_a_break_has_its_own_path():
     got = blocks('<body><div class="sidebar">side</div><article><p><br> <br>text<br>more</p></article><div class="foot"><span><br></span><b>end</b></div>')
     assert [(p[1:], t) for p, t, _ in got] == [(("div", ".sidebar"), "side"), (("article", "p"), "text more"), (("div", ".foot", "b"), "end")]
+
+
+def test_all_words_of_a_block_are_seen():
+    start = " ".join(["one"] * 30)
+    a, b = (vectors([(("p",), f"{start} {last}.", 0)]) for last in ("cookies", "gardens"))
+    assert (a != b).any()
