@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import components
+from ..operators.dedupe import components, few
 from ..sources.durable import cut
 from .words import LOWER, mix, shingles, small_batches, span_codes, text_bytes, word_spans
 
 GOLD = 0x9E3779B97F4A7C15
 TURNS = 1
 KEY = "_id_and_digest"
+ROWS_PER_TASK = 10_000
 
 
 def superminhash(row: np.ndarray, element: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
@@ -167,10 +168,10 @@ def possible_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """The (a, b) pairs with 100 * |intersection| >= percent * |union| on the full sets."""
     plain = sets.select("_id", "set")
-    met = pairs.join(plain.toDF("b", "sb"), "b").join(plain.toDF("a", "sa"), "a")
+    met = few(pairs.join(plain.toDF("b", "sb"), "b"), tasks).join(plain.toDF("a", "sa"), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return met.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -205,19 +206,20 @@ def mixed_buckets(placed: DataFrame) -> DataFrame:
     return placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
 
 
-def picked_pairs(placed: DataFrame, turn: int) -> DataFrame:
+def picked_pairs(placed: DataFrame, turn: int, tasks: int | None = None) -> DataFrame:
     """(a, b): in every bucket of several components, one member picked by hash and each member of another component."""
     picked = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn)))
     buckets = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), picked.alias("p")).filter("lo < hi")
-    return placed.join(buckets, "key").filter(F.col("comp") != F.col("p.comp")) \
-        .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    pairs = placed.join(buckets, "key").filter(F.col("comp") != F.col("p.comp")) \
+        .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+    return few(few(pairs, tasks).distinct(), tasks)
 
 
-def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+def merged(comps: DataFrame, links: DataFrame, tasks: int | None = None) -> DataFrame:
     """(rep, comp) after the components that the (a, b) links join are one."""
     a, b = (comps.select(F.col("rep").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
-    joined = components(links.join(a, "a").join(b, "b"), "ca", "cb")
-    return comps.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+    joined = components(few(few(links.join(a, "a"), tasks).join(b, "b"), tasks), "ca", "cb", tasks=tasks)
+    return comps.join(few(joined, tasks).withColumnRenamed("id", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
@@ -235,39 +237,46 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty one.  Other columns are not read.
     """
     wide = cut(sketch(docs, id_col, text_col, size, bands, rows))
+    # a step of many partitions leaves files for each, which outweigh few rows
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-wide.count() // ROWS_PER_TASK))
+
+    def held(df):
+        return few(cut(few(df, tasks)), tasks)
+
+    wide = few(wide, tasks)
     same = ["n_shingles", "f1", "f2"]
     filled = wide.filter("n_shingles > 0 and _id is not null")
-    reps = cut(filled.groupBy(*same).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")))
+    reps = held(filled.groupBy(*same).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")))
     keys = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = cut(keys.withColumnRenamed("rep", "b").join(buckets, "key").filter("a <> b").select("a", "b").distinct())
+    stars = held(few(keys.withColumnRenamed("rep", "b").join(buckets, "key").filter("a <> b").select("a", "b"), tasks).distinct())
     # members of shared buckets are the only rows whose sets can be asked for
-    asked = cut(stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    asked = held(stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(asked, "_id", "left_semi")
-    sets = cut(shingle_sets(texts.groupBy("_id").agg(F.min("_text").alias("_text")), size))
-    links = cut(local_forest(verified(stars, sets, percent)))
-    found = components(links, "a", "b")
+    sets = held(shingle_sets(texts.groupBy("_id").agg(F.min("_text").alias("_text")), size))
+    links = held(local_forest(few(verified(stars, sets, percent, tasks), tasks)))
+    found = few(components(links, "a", "b", tasks=tasks), tasks)
 
     near = reps.join(asked.withColumnRenamed("_id", "rep"), "rep", "left_semi").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    placed = cut(near.select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("bands").alias("key")))
+    placed = held(near.select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("bands").alias("key")))
     # components only merge, so a bucket of one stays one and is done with
-    live = cut(placed.join(mixed_buckets(placed), "key", "left_semi"))
-    comps = live.select("rep", "comp").distinct()
+    live = held(placed.join(mixed_buckets(placed), "key", "left_semi"))
+    comps = few(live.select("rep", "comp").distinct(), tasks)
     for turn in range(TURNS):
-        more = cut(verified(picked_pairs(live, turn), sets, percent))
+        more = held(verified(picked_pairs(live, turn, tasks), sets, percent, tasks))
         if more.isEmpty():
             break
-        comps = cut(merged(comps, more))
-        live = live.select("rep", "key").join(comps, "rep")
-        live = cut(live.join(mixed_buckets(live), "key", "left_semi"))
-    crowd = cut(live.select("rep", "comp").distinct())
-    rest = possible_pairs(crowd, sets, percent).join(stars, ["a", "b"], "left_anti")
-    more = cut(verified(rest, sets, percent))
-    comps = merged(comps, more) if not more.isEmpty() else comps
+        comps = held(merged(comps, more, tasks))
+        live = few(live.select("rep", "key").join(comps, "rep"), tasks)
+        live = held(live.join(mixed_buckets(live), "key", "left_semi"))
+    crowd = held(live.select("rep", "comp").distinct())
+    rest = few(possible_pairs(crowd, sets, percent).join(stars, ["a", "b"], "left_anti"), tasks)
+    more = held(verified(rest, sets, percent, tasks))
+    comps = held(merged(comps, more, tasks)) if not more.isEmpty() else comps
     # a merge moves whole components, also their members outside the mixed buckets
-    before = placed.select("rep", "comp").distinct()
-    moved = before.join(comps.withColumnRenamed("comp", "now"), "rep").groupBy("comp").agg(F.min("now").alias("now"))
-    found = before.join(moved, "comp", "left").select(F.col("rep").alias("id"), F.coalesce("now", "comp").alias("component"))
+    before = held(placed.select("rep", "comp").distinct())
+    moved = few(before.join(comps.withColumnRenamed("comp", "now"), "rep"), tasks).groupBy("comp").agg(F.min("now").alias("now"))
+    found = few(before.join(moved, "comp", "left").select(F.col("rep").alias("id"), F.coalesce("now", "comp").alias("component")), tasks)
     return wide.select("_id", *same).join(reps.select(*same, "rep"), same, "left") \
         .join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
             F.col("_id").alias(id_col), "n_shingles",

@@ -93,22 +93,29 @@ def greedy_rounds(edges: DataFrame, log: list | None = None) -> DataFrame:
             return dropped
 
 
-def star_round(edges: DataFrame) -> DataFrame:
+def star_round(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """One large-star and one small-star step over distinct (hi, lo) edges, hi > lo.
 
     Large star: every neighbour above a node is linked to the smallest id near
     that node.  Small star: a node and its smaller neighbours are linked to the
     smallest of them.  Neither step joins or separates components.
     """
-    both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
+    ends = F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v"))))
+    both = edges.select(ends.alias("x")).select("x.u", "x.v")
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi > lo").distinct()
+    large = few(both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi > lo"), tasks).distinct()
+    large = few(large, tasks)
     least = large.groupBy("hi").agg(F.min("lo").alias("m"))
     small = large.join(least, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo"))
-    return small.filter("hi > lo").distinct()
+    return few(few(small.filter("hi > lo"), tasks).distinct(), tasks)
 
 
-def components(edges: DataFrame, a: str, b: str, log: list | None = None) -> DataFrame:
+def few(df: DataFrame, tasks: int | None) -> DataFrame:
+    """``df`` in at most ``tasks`` partitions, where a number is given."""
+    return df.coalesce(tasks) if tasks else df
+
+
+def components(edges: DataFrame, a: str, b: str, log: list | None = None, tasks: int | None = None) -> DataFrame:
     """(id, component): the smallest id of each connected component.
 
     Alternating stars until every edge points at its component's smallest id,
@@ -116,18 +123,20 @@ def components(edges: DataFrame, a: str, b: str, log: list | None = None) -> Dat
     when no id is both the upper end of an edge and the lower end of another
     and no id has two lower ends.  Lineage is cut every round.  Nodes that only
     have an edge to themselves are their own component; edges with a NULL end
-    are no edges.  ``log`` receives one entry per round.
+    are no edges.  ``log`` receives one entry per round.  ``tasks`` bounds the
+    partitions of every step, for edges known to be few: a step of many
+    partitions leaves a file on disk for each, however small.
     """
     given = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
     own = given.filter("a = b").select(F.col("a").alias("id")).distinct()
-    now = cut(given.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    now = cut(few(few(given.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), tasks).distinct(), tasks))
     while True:
-        ends = now.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
-            .unionByName(now.select(F.col("lo").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        open_ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
+        ends = now.select(F.explode(F.array(F.struct(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                            F.struct(F.col("lo").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
+        open_ends = few(ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)"), tasks)
         if open_ends.isEmpty():
             break
-        now = cut(star_round(now))
+        now = cut(star_round(now, tasks))
         if log is not None:
             log.append(1)
     roots = now.select(F.col("lo").alias("id")).unionByName(own).distinct()

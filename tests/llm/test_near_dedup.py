@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from attesta.llm import near_dedup
 from attesta.llm.near_dedup import drop_near_copies, near_groups, parity_map, superminhash
 
 
@@ -150,3 +151,23 @@ def test_a_family_melts_into_few_components_before_all_pairs(spark, docs, monkey
         got = [tuple(r) for r in near_groups(docs(rows), size=3, percent=85).collect()]
         assert sorted(got) == brute(rows, 3, 85)
     assert seen[1] <= 8 * max(seen[0], 50)
+
+
+def test_few_rows_leave_few_files(spark):
+    """Every partition of every step leaves files; few rows in many partitions must not fill the disk."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 20}x{j}" for j in range(30)) + f" end{i}") for i in range(60)], "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    steps = []
+    cut = near_dedup.cut
+    near_dedup.cut = lambda df: steps.append(cut(df)) or steps[-1]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs).collect()}
+    finally:
+        near_dedup.cut = cut
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i % 20 for i in range(60)}
+    assert max(df.rdd.getNumPartitions() for df in steps) <= max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
