@@ -81,36 +81,41 @@ def longest_run(text: Column, query: Column, gap: int = 2) -> Column:
     """struct<start,end,hits> of the longest run of query words in a text.
 
     Up to ``gap`` other words may lie between two hits, but no ; . or :
-    Two hits are needed unless the query has a single content word.  The text
-    is cut at those marks and tokenised once; offsets are only worked out where
-    a run is found.
+    Two hits are needed unless the query has a single content word.  Words and
+    those marks are read once; hits are only followed where there are enough,
+    and offsets only worked out where a run is found.
     """
-    return T.let(F.array_distinct(T.content_words(query)), lambda wanted: F.when(
-        F.size(wanted) > 0, T.let(_best_run(text, wanted, gap), lambda best: F.when(
-            (best["best"] > 0) & (best["best"] >= F.least(F.lit(2), F.size(wanted))), _run_offsets(text, best)))))
+    def of_words(wanted, toks):
+        enough = F.least(F.lit(2), F.size(wanted))
+        hits = F.filter(F.transform(toks, lambda w, i: F.when(w.isin(*";.:"), -1).when(F.array_contains(wanted, F.lower(w)), i)), lambda i: i.isNotNull())
+        return T.let(hits, lambda found: F.when(F.size(F.filter(found, lambda i: i >= 0)) >= enough, T.let(
+            _best_run(found, gap), lambda best: F.when(best["best"] >= enough, _run_offsets(text, best)))))
 
+    return T.let(F.array_distinct(T.content_words(query)), lambda wanted: F.when(F.size(wanted) > 0, T.let(
+        F.regexp_extract_all(text, F.lit(f"({RUN_TOKEN})"), 1), lambda toks: F.when(
+            F.arrays_overlap(wanted, F.transform(toks, F.lower)), of_words(wanted, toks)))))
 
-def _best_run(text: Column, wanted: Column, gap: int) -> Column:
-    """The longest run by the places of its first and last word; the first of equal ones."""
-    words = F.flatten(F.transform(F.split(text, "[;.:]"), lambda piece, k: F.transform(
-        F.regexp_extract_all(piece, F.lit("([a-zA-Z0-9']+)"), 1), lambda w: F.struct(F.lower(w).alias("w"), k.alias("k")))))
-    hits = F.filter(F.transform(words, lambda x, i: F.when(
-        F.array_contains(wanted, x["w"]), F.struct(i.alias("i"), x["k"].alias("k")))), lambda x: x.isNotNull())
-    zero = F.struct(*[F.lit(v).alias(n) for n, v in (("i", -100), ("k", -1), ("first", 0), ("n", 0), ("best", 0), ("bf", 0), ("bl", 0))])
 
-    def step(acc, x):
-        near = (x["i"] - acc["i"] <= gap + 1) & (x["k"] == acc["k"])
-        first = F.when(near, acc["first"]).otherwise(x["i"])
+RUN_TOKEN = "[a-zA-Z0-9']+|[;.:]"
+
+
+def _best_run(hits: Column, gap: int) -> Column:
+    """The longest run by the places of its first and last word; the first of equal ones.  A place of -1 is a mark."""
+    zero = F.struct(*[F.lit(v).alias(n) for n, v in (("i", -100), ("first", 0), ("n", 0), ("best", 0), ("bf", 0), ("bl", 0))])
+
+    def step(acc, i):
+        near = i - acc["i"] <= gap + 1
+        first = F.when(near, acc["first"]).otherwise(i)
         n = F.when(near, acc["n"]).otherwise(0) + 1
         longer = n > acc["best"]
-        return F.struct(x["i"].alias("i"), x["k"].alias("k"), first.alias("first"), n.alias("n"), F.greatest(n, acc["best"]).alias("best"),
-                        F.when(longer, first).otherwise(acc["bf"]).alias("bf"), F.when(longer, x["i"]).otherwise(acc["bl"]).alias("bl"))
+        return F.struct(F.when(i < 0, -100).otherwise(i).alias("i"), first.alias("first"), n.alias("n"), F.when(i < 0, acc["best"]).otherwise(F.greatest(n, acc["best"])).alias("best"),
+                        F.when((i >= 0) & longer, first).otherwise(acc["bf"]).alias("bf"), F.when((i >= 0) & longer, i).otherwise(acc["bl"]).alias("bl"))
 
     return F.aggregate(hits, zero, step)
 
 
 def _run_offsets(text: Column, best: Column) -> Column:
-    return T.let(T.match_spans(text, "[a-zA-Z0-9']+"), lambda at: F.struct(
+    return T.let(T.match_spans(text, RUN_TOKEN), lambda at: F.struct(
         F.get(at, best["bf"])["start"].alias("start"), F.get(at, best["bl"])["end"].alias("end"), best["best"].alias("hits")))
 
 
@@ -146,6 +151,21 @@ def place_sentences(note: Column, sents: Column) -> Column:
         F.lit(0).alias("cursor"), F.array().cast("array<struct<start:int,end:int,mode:string>>").alias("out")), step)["out"]
 
 
+def words_before(text: Column, starts: Column) -> Column:
+    """Runs of white space before each start, NULL for a NULL one; starts never go back.
+
+    Each stretch between two starts is read once.
+    """
+    def step(acc, x):
+        at, n = acc["at"], acc["n"]
+        more = F.when(at == 0, F.regexp_count(F.substring(text, F.lit(1), x), F.lit("\\s+"))).otherwise(
+            F.regexp_count(F.substring(text, at, x - at + 1), F.lit("(?<=\\S)\\s")))
+        return F.when(x.isNull(), F.struct(at.alias("at"), n.alias("n"), F.array_append(acc["out"], F.lit(None).cast("int")).alias("out"))).otherwise(
+            T.let(n + more, lambda now: F.struct(x.alias("at"), now.alias("n"), F.array_append(acc["out"], now).alias("out"))))
+
+    return F.aggregate(starts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+
 def sections_by_position(note: Column, sents: Column) -> Column:
     """Section of each sentence by the header block its position falls into."""
     placed = F.aggregate(sents, F.struct(
