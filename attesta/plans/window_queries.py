@@ -418,6 +418,9 @@ def place_sentences(spark, root):
     altered = F.transform(T.sentences(C("text")), lambda s, i: F.when(i % 4 == 1, F.concat(
         F.left(s, F.lit(20)), F.lit("#"), F.substring(s, F.lit(22), F.length(s)))).when(i % 4 == 2, F.concat(F.lit("#"), s)).otherwise(s))
     placed = documents(spark, root).withColumn("l", altered)
-    placed = placed.select("doc_id", "text", F.posexplode(W.place_sentences(C("text"), C("l"))).alias("i", "p"))
-    return placed.select("doc_id", big("i").alias("idx"), big("p.start").alias("start_at"), big("p.end").alias("end_at"), C("p.mode").alias("mode"),
-                         F.when(C("p.start").isNotNull(), big(F.size(F.split(F.left("text", C("p.start")), "\\s+")) - 1)).alias("word_at"))
+    # the text itself is not repeated with every sentence
+    numbered = T.let(W.place_sentences(C("text"), C("l")), lambda p: F.zip_with(
+        p, W.words_before(C("text"), F.transform(p, lambda x: x["start"])), lambda x, n: F.struct(x.alias("p"), n.alias("n"))))
+    placed = placed.select("doc_id", F.posexplode(numbered).alias("i", "x"))
+    return placed.select("doc_id", big("i").alias("idx"), big("x.p.start").alias("start_at"), big("x.p.end").alias("end_at"), C("x.p.mode").alias("mode"),
+                         big("x.n").alias("word_at"))
