@@ -12,7 +12,8 @@ ABBREVIATIONS = [
 ]
 
 # --- fixed values: patterns of notes, headers and transcripts ---------------
-BULLETS = "^[-•*#+]+"
+BULLET_MARKS = "-•*#+"
+BULLETS = f"^[{BULLET_MARKS}]+"
 FIELD_PREFIX = "^[A-Za-z /-]+:\\s*"
 TEMPLATE_JUNK = "(?i)\\[unknown\\]|\\[not mentioned\\]"
 SECTION_HEADER = (
