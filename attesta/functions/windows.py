@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -238,27 +240,39 @@ def flip_phrase(text: Column, phrase: Column, negated: Column) -> Column:
         F.left(text, at - 1), negated, F.substring(text, at + F.length(phrase), F.length(text)))).otherwise(text)
 
 
+def needed(pattern: str) -> list[str]:
+    """Lower-case strings that every match holds, whatever its case; none for patterns of other than plain characters and blanks."""
+    if not re.fullmatch(r"(?:[\w /,;:%-]|\\[.,/%-]|\\s[*+]?)+", pattern, re.ASCII):
+        return []
+    parts = re.split(r"\\s[*+]?", pattern)
+    return [p.replace("\\", "").lower() for p in parts if p]
+
+
 def apply_rules(note: Column, rules: list[tuple[str, str, str]], most: int) -> Column:
-    """Pattern edits; a fixed sentence is appended when none applies."""
-    zero = F.struct(note.alias("text"), F.array().cast(
+    """Pattern edits; a fixed sentence is appended when none applies.
+
+    A pattern is searched for only in texts that hold the plain strings it needs.
+    """
+    zero = F.struct(note.alias("text"), F.lower(note).alias("low"), F.array().cast(
         "array<struct<start:int,end:int,original:string,replacement:string,category:string>>").alias("spans"))
-    listed = F.array(*[F.struct(F.lit(T.ascii_edges(f"(?i)\\b{p}\\b")).alias("p"), F.lit(r).alias("r"), F.lit(c).alias("c"))
-                       for p, r, c in rules])
+    listed = F.array(*[F.struct(F.lit(T.ascii_edges(f"(?i)\\b{p}\\b")).alias("p"), F.lit(r).alias("r"), F.lit(c).alias("c"),
+                                F.array(*map(F.lit, needed(p))).cast("array<string>").alias("need")) for p, r, c in rules])
 
     def step(acc, e):
         at = F.regexp_instr(acc["text"], e["p"])
+        may = F.forall(e["need"], lambda s: F.contains(acc["low"], s))
+        return F.when((F.size(acc["spans"]) < most) & may & (at > 0), edited(acc, e, at)).otherwise(acc)
+
+    def edited(acc, e, at):
         old = F.regexp_substr(acc["text"], e["p"])
-        return F.when((F.size(acc["spans"]) < most) & (at > 0), F.struct(
-            F.concat(F.left(acc["text"], at - 1), e["r"],
-                     F.substring(acc["text"], at + F.length(old), F.length(acc["text"]))).alias("text"),
-            F.array_append(acc["spans"], F.struct(
-                (at - 1).alias("start"), (at - 1 + F.length(e["r"])).alias("end"), old.alias("original"),
-                e["r"].alias("replacement"), e["c"].alias("category"))).alias("spans"))).otherwise(acc)
+        text = F.concat(F.left(acc["text"], at - 1), e["r"], F.substring(acc["text"], at + F.length(old), F.length(acc["text"])))
+        return F.struct(text.alias("text"), F.lower(text).alias("low"), F.array_append(acc["spans"], F.struct(
+            (at - 1).alias("start"), (at - 1 + F.length(e["r"])).alias("end"), old.alias("original"),
+            e["r"].alias("replacement"), e["c"].alias("category"))).alias("spans"))
 
-    done = F.aggregate(listed, zero, step)
     tail = K.CORRUPTION_FALLBACK
-    return F.when(F.size(done["spans"]) > 0, done).otherwise(F.struct(
+    return T.let(F.aggregate(listed, zero, step), lambda done: F.when(F.size(done["spans"]) > 0, F.struct(done["text"].alias("text"), done["spans"].alias("spans"))).otherwise(F.struct(
         F.concat(note, F.lit(tail)).alias("text"),
         F.array(F.struct(F.length(note).alias("start"), (F.length(note) + len(tail)).alias("end"), F.lit("").alias("original"),
                          F.lit(tail.strip()).alias("replacement"), F.lit("inserted_hallucination").alias("category")))
-        .alias("spans")))
+        .alias("spans"))))
\ No newline at end of file
